@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glossa.llm import byte_bpe, secret_scan
+from glossa.llm import byte_bpe, minhash_dedup, secret_scan, source_mix
 from glossa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,12 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = source_mix.mix(docs, F.array("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, pattern)
@@ -28,10 +35,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_source_mix": op1_source_mix,
         "op3_byte_bpe": op3_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
