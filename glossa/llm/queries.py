@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import byte_bpe, minhash_dedup, secret_scan, source_mix
+from glossa.llm import byte_bpe, minhash_dedup, secret_scan, source_mix, toxicity
 from glossa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file()
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, pattern)
@@ -42,6 +48,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mix": op1_source_mix,
+        "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op9_secret_scan": op9_secret_scan,
         "op10_minhash_dedup": op10_minhash_dedup,
