@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import byte_bpe, minhash_dedup, secret_scan, source_mix, toxicity
+from glossa.llm import byte_bpe, html_text, minhash_dedup, secret_scan, source_mix, toxicity
 from glossa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, pattern)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Query]:
         "op1_source_mix": op1_source_mix,
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_html_text": op4_html_text,
         "op9_secret_scan": op9_secret_scan,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
