@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import byte_bpe, html_text, media_sequence, minhash_dedup, secret_scan, source_mix, toxicity
+from glossa.llm import byte_bpe, embedding_dedup, html_text, media_sequence, minhash_dedup, secret_scan, source_mix, toxicity
 from glossa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_media_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sequence.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_html_text": op4_html_text,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_media_sequence": op8_media_sequence,
         "op9_secret_scan": op9_secret_scan,
         "op10_minhash_dedup": op10_minhash_dedup,
