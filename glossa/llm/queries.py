@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import byte_bpe, embedding_dedup, html_text, media_sequence, minhash_dedup, secret_scan, source_mix, toxicity
+from glossa.llm import byte_bpe, chat_snapshots, embedding_dedup, html_text, media_sequence, minhash_dedup, secret_scan, source_mix, toxicity, url_lists
 from glossa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,15 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = url_lists.sample_captures(table(spark, sf_dir, "pages"))
+    return url_lists.judge(captures, url_lists.sample_entries(captures))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +72,8 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_html_text": op4_html_text,
+        "op5_chat_snapshots": op5_chat_snapshots,
+        "op6_url_lists": op6_url_lists,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_media_sequence": op8_media_sequence,
         "op9_secret_scan": op9_secret_scan,
@@ -71,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_snapshots": chat_snapshots.ORACLE_SQL, "op6_url_lists": url_lists.ORACLE_SQL}
