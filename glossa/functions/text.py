@@ -6,12 +6,13 @@ All stay inside the JVM, except that text beyond the Latin-1 letters takes one A
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 #: Text whose NFKC form is itself and whose case folding is lower case, apart from sharp s.
 PLAIN = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]*$"
@@ -121,12 +122,16 @@ def detect_lang(term: Column, pattern: str = FRENCH) -> Column:
     return F.when(term.rlike(pattern), "fr").otherwise("en")
 
 
+#: A word of a sentence: letters of any script, digits, underscores, apostrophes and hyphens.
+TOKEN = r"[\p{L}\p{N}_'-]+"
+
+
 def context_variants(term: Column, sentence: Column, most: int = 6) -> Column:
     """Phrases of the sentence from the term on, longest first; none if the first token doesn't hold the term."""
     term, sentence = strip(term), strip(sentence)
     at = F.instr(F.lower(sentence), F.lower(term))
     tail = F.when((at > 0) & (term != ""), F.substring(sentence, at, F.length(sentence)))
-    tokens = F.regexp_extract_all(tail, F.lit(r"[\w'-]+"), F.lit(0))
+    tokens = F.regexp_extract_all(tail, F.lit(TOKEN), F.lit(0))
     fits = (F.size(tokens) > 0) & F.contains(F.lower(F.try_element_at(tokens, F.lit(1))), F.lower(term))
     phrases = F.transform(F.sequence(F.least(F.size(tokens), F.lit(most)), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
     long_enough = F.filter(phrases, lambda p: F.length(p) >= F.length(term))
@@ -150,18 +155,46 @@ STOPWORDS = tuple(
 )
 
 
-def best_phrase(text: Column, stopwords: tuple[str, ...] = STOPWORDS, least: int = 6) -> Column:
-    """The first window of 5, 4, 3 or 2 words that isn't all stop words and is long enough."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z\-]+"), F.lit(0)), lambda w: w)
-    stops = F.array(*[F.lit(w) for w in stopwords])
+_LATIN_WORD = re.compile(r"[a-zA-Z\-]+")
+
+
+def first_phrase(text: str | None, stopwords: frozenset[str] = frozenset(STOPWORDS), least: int = 6) -> str | None:
+    """The first window of 5, else 4, 3 or 2 words that isn't all stop words and is long enough."""
+    found = _LATIN_WORD.finditer((text or "").lower())
+    words: list[str] = []
+    for n in (5, 4, 3, 2):
+        start = 0
+        while True:
+            while len(words) < start + n and (m := next(found, None)):
+                words.append(m[0])
+            window = words[start : start + n]
+            if len(window) < n:
+                break
+            phrase = " ".join(window)
+            if len(phrase) >= least and not stopwords.issuperset(window):
+                return phrase
+            start += 1
+    return None
+
+
+@F.pandas_udf(StringType())
+def _first_phrase(texts: pd.Series) -> pd.Series:
+    return texts.map(first_phrase)
+
+
+def best_phrase(text: Column) -> Column:
+    """``first_phrase`` of a column. In Python, because it can stop at the first window that will do; higher-order functions form all of them."""
+    return _first_phrase(text)
+
+
+def count_phrases(text: Column, phrases: list[str]) -> Column:
+    """How many of a bounded list of phrases the (normalised) text contains; the text is normalised once, not once a phrase."""
 
-    def windows(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        some = F.transform(starts, lambda i: F.slice(words, i, F.lit(n)))
-        good = F.filter(some, lambda w: F.exists(w, lambda x: ~F.array_contains(stops, x)) & (F.length(F.array_join(w, " ")) >= least))
-        return F.array_join(F.try_element_at(good, F.lit(1)), " ")
+    @F.pandas_udf(LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sum(p in t for p in phrases) if t is not None else 0)
 
-    return F.coalesce(*[windows(n) for n in (5, 4, 3, 2)])
+    return count(text)
 
 
 def document_key(document_id: Column, segment_id: Column) -> Column:

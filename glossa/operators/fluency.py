@@ -132,7 +132,7 @@ def concatenated(pairs: DataFrame, group: str, order: str, sep: str = " ") -> Da
     """One line per group: hypotheses and references joined in order."""
     own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), fluency_text(F.col("hyp")).alias("hyp"), F.col("ref").alias("ref"))))
     rows = pairs.groupBy(group).agg(own.alias("own"))
-    return rows.select(group, *[F.array_join(F.transform("own", lambda x, k=k: x[k]), sep).alias(k) for k in ("hyp", "ref")])
+    return rows.select(group, *[F.array_join(F.col("own")[k], sep).alias(k) for k in ("hyp", "ref")])
 
 
 def paired_bootstrap(stats: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:

@@ -62,7 +62,7 @@ def tally(df: DataFrame, value: Column, *by: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, ranking: str) -> DataFrame:
     """(system, avg_rank, n) of comma-separated rankings; blanks are dropped before places are counted."""
-    names = F.filter(F.transform(F.split(F.upper(ranking), ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.upper(ranking), ","), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(F.posexplode(names).alias("pos", "system")).groupBy("system").agg(F.avg(F.col("pos") + 1).alias("avg_rank"), F.count(F.lit(1)).alias("n"))
 
 
