@@ -673,7 +673,7 @@ def candidate_merge(t: Tables) -> DataFrame:
 PHRASES = ", ph AS (SELECT id, hyp, ref FROM turn_pair), fw AS (SELECT id, ref, lower(regexp_extract(hyp, '[A-Za-z]+', 0)) AS fr FROM ph)"
 
 
-@query(PHRASES + ", k AS (SELECT fr, lower(regexp_extract(ref, '[A-Za-z]+', 0)) AS en, count(DISTINCT id) AS n FROM fw WHERE fr <> '' GROUP BY ALL HAVING en <> '') SELECT fr, en, n FROM (SELECT *, row_number() OVER (PARTITION BY fr ORDER BY n DESC, en) AS r FROM k) WHERE r = 1")
+@query(PHRASES + ", k AS (SELECT fr, en, count(DISTINCT id) AS n FROM (SELECT id, fr, lower(regexp_extract(ref, '[A-Za-z]+', 0)) AS en FROM fw) WHERE fr <> '' AND en <> '' GROUP BY fr, en) SELECT fr, en, n FROM (SELECT *, row_number() OVER (PARTITION BY fr ORDER BY n DESC, en) AS r FROM k) WHERE r = 1")
 def glossary_draft(t: Tables) -> DataFrame:
     word = lambda c: F.lower(F.regexp_extract(c, "[A-Za-z]+", 0))
     pairs = turn_groups(t).select("id", word("hyp").alias("fr"), word("ref").alias("phrase")).where("fr <> ''")
