@@ -52,7 +52,7 @@ def enrich(rows: DataFrame, llt_to_pt: DataFrame, pt_names: DataFrame) -> DataFr
     joined = joined.withColumn("new_code", code).join(pt_names.withColumnRenamed("pt_code", "new_code"), "new_code", "left")
     blank = strip(F.col("pt_code")) == ""
     name = F.when(blank & F.col("new_code").isNotNull(), F.coalesce("pt_label", "llt_name")).otherwise(F.col("pt_name"))
-    return joined.withColumn("pt_code", F.coalesce("new_code", "pt_code")).withColumn("pt_name", name).drop("new_code", "parent_pt", "pt_label")
+    return joined.withColumn("pt_name", name).withColumn("pt_code", F.coalesce("new_code", "pt_code")).drop("new_code", "parent_pt", "pt_label")
 
 
 def merge_concepts(concepts: DataFrame, arrival: str = "arrival") -> DataFrame:

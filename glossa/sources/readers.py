@@ -66,11 +66,22 @@ def aligned_pairs(df: DataFrame, sources: list[str], targets: list[str]) -> Data
     return df.select(strip(F.col(a)).alias("fr"), strip(F.col(b)).alias("en")).where("fr <> '' and en <> ''")
 
 
+#: What windows-1252 has in place of ISO-8859-1's control characters, by Python's codec.
+_CONTROLS = {b: bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+
+
 def decode(content: Column) -> Column:
-    """A whole file's text: UTF-8 (without a byte order mark) if valid, else windows-1252, or ISO-8859-1 where that lacks a byte."""
-    as_hex = F.hex(content)
-    lacks = as_hex.rlike("^(..)*(81|8D|8F|90|9D)")
-    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")).when(lacks, F.decode(content, "ISO-8859-1")).otherwise(F.decode(content, "windows-1252"))
+    """A whole file's text: UTF-8 (without a byte order mark) if valid, else windows-1252, or ISO-8859-1 where that lacks a byte.
+
+    Spark decodes ISO-8859-1 itself; windows-1252 is that with other characters for some codes.
+    """
+    latin = F.decode(content, "ISO-8859-1")
+    lacks = F.hex(content).rlike("^(..)*(81|8D|8F|90|9D)")
+    pairs = [(chr(b), c) for b, c in _CONTROLS.items() if c]
+    windows = F.translate(latin, "".join(a for a, _ in pairs), "".join(c for _, c in pairs))
+    valid = F.is_valid_utf8(content.cast("string"))
+    text = F.regexp_replace(F.decode(F.when(valid, content), "UTF-8"), "^\ufeff", "")
+    return F.when(valid, text).when(lacks, latin).otherwise(windows)
 
 
 def read_ontology_file(spark: SparkSession, path: str) -> DataFrame:
