@@ -43,11 +43,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 PARTS = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot adsense banner promo promos promoted promotion sponsor sponsored sponsors
     nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs pagination pager toc
-    header masthead topbar site-header page-header footer foot colophon bottombar copyright legal
+    header masthead topbar footer foot colophon bottombar copyright
     sidebar side sidebars rail aside widget widgets related recommended recommendations trending popular teaser teasers
     cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay toast disclaimer newsletter subscribe subscription signup login register
-    comment comments commentlist comment-list disqus reply replies respond discussion feedback reviews
-    share sharing social socials follow tags tagcloud meta byline-share form search searchbox skip skip-link hidden""".split()
+    comment comments commentlist disqus reply replies respond discussion
+    share sharing social socials follow tagcloud form search searchbox skip hidden""".split()
 )
 #: Words that mark an element as the content whatever else its class says.
 CONTENT_TAGS = frozenset(("article", "main"))
@@ -100,7 +100,9 @@ def _barred(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
             for word in NAME_SPLIT.split(value):
                 low = word.lower()
                 label.append(low)
-                if tag not in ("html", "body", "article", "main") and (low in PARTS or any(p in PARTS for p in low.split("-"))):
+                words = {low, *low.split("-")} & PARTS
+                # An article's own header holds its title.
+                if tag not in ("html", "body", "article", "main") and words - ({"header"} if inside else set()):
                     bar = True
         elif name == "role":
             bar |= value.lower() in ROLES

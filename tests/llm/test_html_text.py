@@ -20,6 +20,7 @@ PAGES = {
     "hidden": ("<p>a</p><p hidden>no</p><div style='display:none'>no</div>", "a"),
     "form": ("<p>a</p><form><p>no</p><textarea><p>no</p></textarea></form><p>b</p>", "a\nb"),
     "reader comments in main": (f"<main><p>{LONG}</p><section class=comments><article class=comment><p>{LONG}</p></article></section></main>", LONG),
+    "own header": (f"<article><header class='entry-header'><h1>T</h1></header><p>{LONG}</p><footer>by</footer></article><div class='page-header'>no</div>", f"T\n{LONG}"),
     "text": ("no markup", "no markup"),
     "empty": ("", ""),
     "null": (None, ""),
