@@ -325,18 +325,29 @@ def gold_overlay(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    """(id, source, word, grounded, level, text, found, found_level, score, ref_score): grounded spans of a document against the next of its language and source."""
+    """(id, source, word, grounded, level, found, found_level, score, ref_score): spans of a document against the next of its language and source.
+
+    A document's distinct words meet its two texts as one array, so texts are not repeated per word; occurrences unfold after the texts are gone.
+    """
     index = grounding.label_index(t.concepts())
-    g = grounding.ground_exact(t.occurrences().select("id", "source", "word"), index).select("id", "source", "word", F.col("concept").isNotNull().alias("grounded"), F.col("concept.name").alias("name"), F.col("concept.level").alias("level"))
-    pairs = t.doc_pairs().select("id", T.norm_metric(F.col("ref")).alias("text"), T.norm_metric(F.col("hyp")).alias("own"))
+    counts = t.occurrences().groupBy("id", "source", "word").agg(F.count(F.lit(1)).alias("c"))
+    g = grounding.ground_exact(counts, index).select("id", "source", "word", "c", F.col("concept.name").alias("name"), F.col("concept.level").alias("level"))
     names = ontology.by_name(t.concepts()).select(F.col("key").alias("name_key"), F.col("concept.level").alias("target"))
-    rows = g.join(pairs, "id").join(names, F.lower("name") == F.col("name_key"), "left")
-    key = T.norm_metric(F.col("name"), wide=False)
-    found, own = F.when(F.contains("text", key), F.col("name")), F.when(F.contains("own", key), F.col("name"))
-    rows = rows.withColumn("found", found).withColumn("found_level", F.when(found.isNotNull(), F.col("target")))
-    rows = rows.withColumn("score", terminology.span_score(found, F.col("target"), F.col("level"), F.lit(False)))
-    rows = rows.withColumn("ref_score", terminology.span_score(own, F.col("target"), F.col("level"), F.lit(False)))
-    return rows.select("id", "source", "word", "grounded", "level", "found", "found_level", "score", "ref_score")
+    g = g.join(names, F.lower("name") == F.col("name_key"), "left").withColumn("key", T.norm_metric(F.col("name"), wide=False))
+    words = g.groupBy("id", "source").agg(F.collect_list(F.struct("word", "c", "name", "level", "target", "key")).alias("words"))
+    pairs = t.doc_pairs().select("id", T.norm_metric(F.col("ref")).alias("text"), T.norm_metric(F.col("hyp")).alias("own"))
+
+    def judged(x):
+        found, own = F.when(F.contains("text", x["key"]), x["name"]), F.when(F.contains("own", x["key"]), x["name"])
+        return F.struct(
+            x["word"].alias("word"), x["c"].alias("c"), x["name"].isNotNull().alias("grounded"), x["level"].alias("level"), found.alias("found"),
+            F.when(found.isNotNull(), x["target"]).alias("found_level"),
+            terminology.span_score(found, x["target"], x["level"], F.lit(False)).alias("score"),
+            terminology.span_score(own, x["target"], x["level"], F.lit(False)).alias("ref_score"),
+        )
+
+    rows = words.join(pairs, "id").select("id", "source", F.explode(F.transform("words", judged)).alias("x")).select("id", "source", "x.*")
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).drop("_n", "c")
 
 
 SCORED = r""", nm AS (SELECT lower(name) AS key, arg_min(level, (-level, id)) AS target FROM concept GROUP BY 1), dp AS (SELECT id, regexp_replace(lower(ref), '\s+', ' ', 'g') AS text, regexp_replace(lower(hyp), '\s+', ' ', 'g') AS own FROM doc_pair),
