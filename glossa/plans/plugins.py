@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Frames = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -28,3 +28,21 @@ def run_system(segments: DataFrame, system: str, translate: Frames = echo, done:
             yield f[["id", "system", "fr", "hyp", "en_ref", "inference_s"]]
 
     return given.mapInPandas(run, TRANSLATED).withColumn("inference_s", F.round("inference_s", 4))
+
+
+Scorer = Callable[[Column, Column, Column], Column]
+
+
+def neural_score(pairs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+    """Mean of a model's score over (src, hyp, ref) rows; null without a model or rows."""
+    if scorer is None:
+        return pairs.agg(F.lit(None).cast("double").alias("comet"))
+    return pairs.agg(F.avg(scorer(F.col("src"), F.col("hyp"), F.col("ref"))).alias("comet"))
+
+
+def choose(merged: DataFrame, chooser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(term, id, abstained): a model's choice among a term's candidates; without one the only candidate, or none if there are several."""
+    if chooser is not None:
+        return chooser(merged)
+    own = merged.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "rank").alias("top"))
+    return own.select("term", F.when(F.col("n") == 1, F.col("top")).alias("id"), (F.col("n") > 1).alias("abstained"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,18 @@ def write_coverage(df: DataFrame, path: str) -> None:
     df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).withColumn("ccr", F.round(v, 6)).write.mode("overwrite").json(path)
 
 
+def cached(path: str, compute: Callable[[], DataFrame], recompute: bool = False) -> DataFrame:
+    """A table kept as Parquet; computed if it isn't there or if asked. Its age is not looked at."""
+    from pyspark.sql import SparkSession
+
+    from glossa.sources.readers import _exists
+
+    spark = SparkSession.getActiveSession()
+    if recompute or not _exists(spark, f"{path}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def refresh_texts(audit: DataFrame, segments: DataFrame, hyps: DataFrame) -> DataFrame:
     """An audit table with its texts filled again from the sources; annotations stay, unknown ids stay as they are, a missing hypothesis is empty."""
     own = segments.select("id", F.col("fr").alias("new_fr"), F.col("en_ref").alias("new_ref"), F.lit(True).alias("known"))
