@@ -4,12 +4,12 @@ Documents are sets of word shingles. Two collections of ``SIDE`` keys, each from
 2 * SIDE * ROWS minhashes instead of SIDE * SIDE * 2 * ROWS. The tables' keys are all pairs (A_i, B_j), formed only
 where both halves are shared with another document (a pair can't be shared otherwise), so most
 documents form none. Members of a bucket are not paired with each other: a forest of the pairs that their sketches say are
-closest is checked on the full sets, and only where a bucket then still holds several components the
-remaining pairs across these, whose sketches come near the threshold, are checked too, block by block. Copies of one
-set are one class from the start.
+closest is checked on the full sets. Where a bucket then still holds several components, the documents outside its
+largest one are compared on full sets with all of that component and with each other, block by block, and only one link to
+each component is written. Copies of one set are one class from the start.
 
 At a similarity of exactly 0.75 a pair meets with probability (1 - (1 - 0.75**3)**14)**2 = 0.999 and passes the
-sketch's bound (0.55 of 84 values) with 0.9999; it has as many further chances as its group has members.
+sketch's bound (0.55 of 84 values), which only the forest of a bucket uses, with 0.9999.
 
 Defined results: texts without words (or null) have no shingles and link with nothing; texts shorter than a shingle
 are one shingle, the whole word sequence; repeated rows are copies; rows without an id have a null component
@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import discard, prepare, stash
@@ -220,17 +220,31 @@ def _pairs(xs, ys) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
 
-def _across(ids: pa.Array, parts: pa.Array, sides: pa.Array, sketches: pa.Array) -> pa.RecordBatch | None:
-    """Pairs of two blocks (or of one with itself) in different components whose sketches come near the threshold."""
+def _linked(ids: pa.Array, parts: pa.Array, sides: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
+    """Links between side 0 and side 1 (side 2 is both) across components, on full sets: one of each row with each component.
+
+    A row of side 1 marks its shingles; the marks that the others' sets meet are summed for all of these at once.
+    """
     names, part, side = ids.to_numpy(), parts.to_numpy(), sides.to_numpy()
-    small = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(names), -1)
-    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    if not one.size or not two.size:
+    sets, at = shingle_sets(texts)
+    size = np.diff(at)
+    if len(np.unique(part)) < 2 or not (side != 0).any() or not (side != 1).any():
         return None
-    near = (_agreement(small[one], small[two]) >= SKETCH_LEAST) & (part[one][:, None] != part[two][None, :])
-    i, j = np.nonzero(near)
-    x, y = names[one[i]], names[two[j]]
-    return _pairs(np.minimum(x, y), np.maximum(x, y))
+    _, place = np.unique(sets, return_inverse=True)
+    mark = np.zeros(len(place) + 1, np.int64)
+    xs, ys = [], []
+    other = (side != 1) & (size > 0)
+    for x in np.flatnonzero((side != 0) & (size > 0)):
+        own = place[at[x] : at[x + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(np.append(mark[place], 0), at[:-1])
+        mark[own] = 0
+        near = other & (part != part[x]) & (shared > 0) & (100 * shared >= PERCENT * (size + size[x] - shared))
+        hits = np.flatnonzero(near)
+        first = hits[np.unique(part[hits], return_index=True)[1]]
+        xs += [min(names[x], names[y]) for y in first]
+        ys += [max(names[x], names[y]) for y in first]
+    return _pairs(xs, ys)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,6 +267,37 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
+def _blocks(n: Column, least: int = 1) -> Column:
+    return F.greatest(F.lit(least), F.ceil(n / BLOCK).cast("int"))
+
+
+def _against_components(outside: DataFrame, found: DataFrame) -> DataFrame:
+    """(group, doc_id, part, side): each outsider with all members of the component it met, block against block."""
+    met = outside.select("doc_id", "part", "top").distinct()
+    wanted = met.groupBy("top").agg(F.count(F.lit(1)).alias("xs"))
+    own = found.select(F.col("component").alias("top"), F.col("node").alias("doc_id")).unionByName(wanted.select("top", F.col("top").alias("doc_id"))).distinct()
+    own = stash(own.join(stash(wanted, "wanted"), "top"), "own")
+    sizes = stash(own.groupBy("top").agg(F.count(F.lit(1)).alias("m"), F.max("xs").alias("xs")), "sizes")
+    block, split = F.pmod(F.xxhash64("doc_id"), _blocks(F.col("m"))), F.pmod(F.xxhash64("doc_id"), _blocks(F.col("xs")))
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), _blocks(n) - 1))
+
+    inner = own.drop("xs").join(sizes, "top").select("top", "doc_id", F.col("top").alias("part"), F.lit(0).alias("side"), block.cast("int").alias("b"), every(F.col("xs")).alias("q"))
+    outer = met.join(sizes, "top").select("top", "doc_id", "part", F.lit(1).alias("side"), every(F.col("m")).alias("b"), split.cast("int").alias("q"))
+    return inner.unionByName(outer).select(F.xxhash64(F.lit("c"), "top", "b", "q").alias("group"), "doc_id", "part", "side")
+
+
+def _among_outsiders(outside: DataFrame) -> DataFrame:
+    """(group, doc_id, part, side): the outsiders of each bucket with each other, block against block; equal sets of outsiders once."""
+    sums = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all"), F.min("part").alias("a"), F.max("part").alias("b"))
+    sums = sums.where("a < b").groupBy("n", "all").agg(F.min("bucket").alias("bucket"))
+    rows = outside.select("bucket", "doc_id", "part").join(stash(sums.select("bucket", "n"), "sums"), "bucket")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "bucket"), _blocks(F.col("n"))).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)))
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    return rows.select(F.xxhash64(F.lit("b"), "bucket", F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc_id", "part", side.alias("side"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
@@ -289,23 +334,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stash(confirm(pairs, docs), "links")
     found = stash(components(links, "x", "y"), "found")
 
-    # Buckets that still hold several components: all pairs across these, in blocks.
+    # Buckets that still hold several components. Their largest one is named by each outsider once, however many
+    # buckets they share, and the outsider is compared with all its members; outsiders of a bucket are compared with each other.
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     placed = stash(placed.select("bucket", "n", "doc_id", "part"), "placed")
-    mixed = stash(placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("bucket"), "mixed")
-    rest = placed.join(mixed, "bucket").join(reps.select("doc_id", "sketch"), "doc_id").withColumn("block", block).withColumn("blocks", blocks)
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rest = rest.withColumn("side", side).withColumn("group", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
-    across = by_group(rest, "group", ["doc_id", "part", "side", "sketch"], _across, "x long, y long")
-    late = stash(across.where("x < y").distinct().join(pairs, ["x", "y"], "left_anti"), "late")
-    if not late.isEmpty():
-        more = stash(confirm(late, docs), "more")
-        final = stash(components(links.unionByName(more), "x", "y"), "final")
-    else:
-        final = found
+    shares = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("c", "part")).alias("top"), F.max("n").alias("n")).where("top.c < n")
+    mixed = stash(mixed.select("bucket", F.col("top.part").alias("top")), "mixed")
+    outside = stash(placed.join(mixed, "bucket").where("part != top").select("bucket", "top", "doc_id", "part"), "outside")
+    rows = _against_components(outside, found).unionByName(_among_outsiders(outside))
+    texts = stash(rows, "late").join(docs, "doc_id")
+    more = stash(by_group(texts, "group", ["doc_id", "part", "side", "text"], _linked, "x long, y long").distinct(), "more")
+    final = found if more.isEmpty() else stash(components(links.unionByName(more), "x", "y"), "final")
     known = stash(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "known")
-    for old in (reps, shared, holders, buckets, members, placed, mixed):
+    for old in (reps, shared, holders, buckets, members, placed, mixed, outside, texts):
         discard(old)
     return signed.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2"], "left").select(
         "doc_id",
