@@ -248,9 +248,12 @@ def _linked(ids: pa.Array, parts: pa.Array, sides: pa.Array, texts: pa.Array) ->
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough. ``pairs`` should be a written table."""
-    x = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text"))
-    y = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text"))
+    """The pairs (x, y) whose full sets are similar enough. ``pairs`` should be a written table.
+
+    The joins are sort-merge joins at any size: pairs grow with the corpus, and hot ends can be split.
+    """
+    x = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")).hint("merge")
+    y = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text")).hint("merge")
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_text", "y_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +327,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sums = tensor.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.bit_xor(F.xxhash64("doc_id")).alias("all"))
     buckets = stash(sums.where("n > 1").groupBy("n", "x", "y", "all").agg(F.min("bucket").alias("bucket")), "buckets")
 
+    # The texts of documents that may have a partner, written once: all checks on full sets read these only.
+    held = stash(docs.join(holders.select("doc_id").hint("merge"), "doc_id", "left_semi"), "held")
+
     wide = buckets.where("n > 2").select("bucket", "n")
     members = stash(tensor.join(wide, "bucket").select("bucket", "n", "doc_id"), "members")
     sketched = members.join(reps.select("doc_id", "sketch"), "doc_id")
@@ -331,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", "bucket"), blocks).cast("int")
     forest = by_group(sketched.withColumn("group", F.xxhash64("bucket", block)), "group", ["doc_id", "sketch"], _forest, "x long, y long")
     pairs = stash(buckets.where("n = 2").select("x", "y").unionByName(forest).distinct(), "pairs")
-    links = stash(confirm(pairs, docs), "links")
+    links = stash(confirm(pairs, held), "links")
     found = stash(components(links, "x", "y"), "found")
 
     # Buckets that still hold several components. Their largest one is named by each outsider once, however many
@@ -343,11 +349,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = stash(mixed.select("bucket", F.col("top.part").alias("top")), "mixed")
     outside = stash(placed.join(mixed, "bucket").where("part != top").select("bucket", "top", "doc_id", "part"), "outside")
     rows = _against_components(outside, found).unionByName(_among_outsiders(outside))
-    texts = stash(rows, "late").join(docs, "doc_id")
+    texts = stash(rows, "late").join(held.hint("merge"), "doc_id")
     more = stash(by_group(texts, "group", ["doc_id", "part", "side", "text"], _linked, "x long, y long").distinct(), "more")
     final = found if more.isEmpty() else stash(components(links.unionByName(more), "x", "y"), "final")
     known = stash(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "known")
-    for old in (reps, shared, holders, buckets, members, placed, mixed, outside, texts):
+    for old in (reps, shared, holders, buckets, members, placed, mixed, outside, held):
         discard(old)
     return signed.select("doc_id", "n_shingles", "h1", "h2").join(known, ["h1", "h2"], "left").select(
         "doc_id",
