@@ -39,6 +39,8 @@ def fuzzy_candidates(words: DataFrame, keys: DataFrame, cutoff: float = CUTOFF)
     """
     a = words.select(F.col("key").alias("word_key")).distinct().where("word_key != ''").withColumn("n", F.length("word_key"))
     b = keys.select(F.col("key").alias("label_key")).distinct().where("label_key != ''").withColumn("m", F.length("label_key"))
+    if cutoff >= 100:  # only equal strings have a ratio of 100
+        return a.join(b, F.col("word_key") == F.col("label_key")).select("word_key", "label_key")
     share = (100 - cutoff) / 100
     # The longest label that fits a word of n characters has n * (200 - c) / c characters.
     longest = F.floor(F.col("n") * (200 - cutoff) / cutoff)
