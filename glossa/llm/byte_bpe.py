@@ -237,6 +237,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
+        self.words_whole = r" ?\p{L}+|" in pattern
         self.cache = cache
         self._young: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
@@ -262,7 +263,13 @@ class Encoder:
             return self._long(" " + chunk)
         found = self._chunks.get(chunk) or self._old_chunks.get(chunk)
         if found is None:
-            ids = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(" " + chunk))))
+            # Letters alone are one match of the pattern's rule for words, so they need neither the split nor a second place in a cache.
+            if self.words_whole and chunk.isalpha():
+                data = b" " + chunk.encode("utf-8", "surrogatepass")
+                rank = self.vocabulary.ranks.get(data)
+                ids = (rank,) if rank is not None else tuple(self.vocabulary.encode(data))
+            else:
+                ids = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(" " + chunk))))
             found = (" ".join(map(str, ids)), ids)
         if len(self._chunks) >= self.cache:
             self._old_chunks, self._chunks = self._chunks, {}
