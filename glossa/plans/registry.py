@@ -499,7 +499,7 @@ def worst_chrf_topk(t: Tables) -> DataFrame:
 
 @query()
 def bootstrap_delta_bleu(t: Tables) -> DataFrame:
-    """Turns against the user's turn, and upper-cased from one word on as the second system; tested against a plain resampling."""
+    """Turns against the user's turn, and upper-cased from one word on as the second system; the tests cover equal systems only so far."""
     pairs = turn_groups(t)
     other = pairs.withColumn("hyp", F.concat_ws(" ", F.col("ref"), F.upper("hyp")))
     pos = F.row_number().over(Window.orderBy("id")) - 1
@@ -693,7 +693,7 @@ def glossary_draft(t: Tables) -> DataFrame:
 
 @query()
 def best_phrases(t: Tables) -> DataFrame:
-    """One phrase per document; held against a plain version in the tests."""
+    """One phrase per document; tested on fixtures."""
     return t.documents.select("doc_id", T.best_phrase(F.col("text")).alias("phrase"))
 
 
