@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +26,50 @@ def _common(a: str, b: str) -> int:
     return len(a) - rows.bit_count()
 
 
+class LabelMasks:
+    """Labels by length, with the places of each character as bits, so that a word meets all labels of a length band at once."""
+
+    def __init__(self, labels: list[str]):
+        self.labels = sorted((x for x in labels if x), key=len)
+        self.length = np.array([len(x) for x in self.labels], np.int64)
+        self.sizes = np.unique(self.length)
+        self.short = int(np.searchsorted(self.length, 64, "right"))  # longer labels do not fit a word of bits
+        self.code = {ch: i for i, ch in enumerate(sorted({ch for x in self.labels[: self.short] for ch in x}))}
+        self.places = np.zeros((len(self.code), self.short), np.uint64)
+        self.has = np.zeros(self.short, np.uint64)
+        for i, label in enumerate(self.labels[: self.short]):
+            for k, ch in enumerate(label):
+                self.places[self.code[ch], i] |= np.uint64(1 << k)
+                self.has[i] |= np.uint64(1 << ord(ch) % 64)
+
+    def matches(self, word: str, cutoff: float) -> Iterator[tuple[str, float]]:
+        """(label, ratio) of all labels whose ratio to the word reaches the cutoff."""
+        n = len(word)
+        fits = np.flatnonzero(np.minimum(n, self.sizes) * 200 >= cutoff * (n + self.sizes))
+        if not fits.size:
+            return
+        low, high = np.searchsorted(self.length, self.sizes[fits[0]], "left"), np.searchsorted(self.length, self.sizes[fits[-1]], "right")
+        own = slice(low, min(high, self.short))
+        # Characters that the other string lacks can't be common; characters that share a bit only weaken this.
+        bits = 0
+        for ch in word:
+            bits |= 1 << ord(ch) % 64
+        mine, has, m = np.uint64(bits), self.has[own], self.length[own]
+        most = np.minimum(n - np.bitwise_count(mine & ~has).astype(np.int64), m - np.bitwise_count(has & ~mine))
+        own = low + np.flatnonzero(200.0 * most >= cutoff * (n + m) - 1e-6)
+        rows = np.full(len(own), ~np.uint64(0))
+        for ch in word:
+            if ch in self.code:
+                match = rows & self.places[self.code[ch], own]
+                rows = rows + match | rows - match
+        ratio = 200.0 * np.bitwise_count(~rows) / (n + self.length[own])
+        for i in np.flatnonzero(ratio >= cutoff):
+            yield self.labels[own[i]], float(ratio[i])
+        for i in range(max(low, self.short), high):
+            if (score := 200.0 * _common(word, self.labels[i]) / (n + len(self.labels[i]))) >= cutoff:
+                yield self.labels[i], score
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 100.0 if not x and not y else 200.0 * _common(x, y) / (len(x) + len(y)) for x, y in zip(a, b)])

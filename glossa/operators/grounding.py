@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossa.functions.similarity import indel_ratio
+from glossa.functions.similarity import LabelMasks, indel_ratio
 from glossa.functions.text import is_malformed_term, norm_key
 
 CUTOFF = 90
 #: Largest label index (rows) that may be broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
+#: Tiers whose labels the fuzzy stage takes.
+FUZZY_TIERS = ("PT", "LLT")
 
 
 def label_index(concepts: DataFrame, label: str = "fr_label") -> DataFrame:
@@ -21,6 +26,11 @@ def label_index(concepts: DataFrame, label: str = "fr_label") -> DataFrame:
     return rows.groupBy("key").agg(F.countDistinct("id").alias("n_concepts"), first.alias("concept")).withColumn("is_ambiguous", F.col("n_concepts") > 1)
 
 
+def fuzzy_index(concepts: DataFrame, label: str = "fr_label") -> DataFrame:
+    """The index of the fuzzy stage: as the reference's, of the two lowest tiers only."""
+    return label_index(concepts.where(F.col("tier").isin(*FUZZY_TIERS)), label)
+
+
 def ground_exact(terms: DataFrame, index: DataFrame, word: str = "word") -> DataFrame:
     """``terms`` with the columns of the index (null where no label equals). Distinct words are keyed once."""
     words = terms.select(word).distinct().withColumn("key", norm_key(F.col(word)))
@@ -60,24 +70,51 @@ def fuzzy_candidates(words: DataFrame, keys: DataFrame, cutoff: float = CUTOFF)
 
 
 def fuzzy_matches(words: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """(word_key, label_key, score): all pairs with an Indel ratio of the cutoff or more."""
+    """(word_key, label_key, score): all pairs with an Indel ratio of the cutoff or more.
+
+    Up to ``BROADCAST_ROWS`` labels go to the executors, where each word meets all that can reach the cutoff;
+    low cutoffs leave pieces of a letter or two, by which the join would form nearly all pairs as rows.
+    """
+    if cutoff < 100:
+        labels = [r.key for r in index.select("key").where("key != ''").distinct().limit(BROADCAST_ROWS + 1).collect()]
+        if len(labels) <= BROADCAST_ROWS:
+            return _matched(words, labels, cutoff)
     pairs = fuzzy_candidates(words, index, cutoff)
     return pairs.withColumn("score", indel_ratio(F.col("word_key"), F.col("label_key"))).where(F.col("score") >= cutoff)
 
 
+def _matched(words: DataFrame, labels: list[str], cutoff: float) -> DataFrame:
+    """``fuzzy_matches`` against labels that are held in the executors."""
+    spark = words.sparkSession
+    shipped = spark.sparkContext.broadcast(sorted(labels))
+    own = words.select(F.col("key").alias("word_key")).where("word_key != ''").distinct()
+    own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word_key")  # few bytes, much work: a stated number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = None
+        for batch in batches:
+            masks = masks or LabelMasks(shipped.value)
+            found = [(w, x, s) for w in batch.column(0).to_pylist() for x, s in masks.matches(w, cutoff)]
+            a, b, score = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(score, pa.float64())], names=["word_key", "label_key", "score"])
+
+    return own.mapInArrow(run, "word_key string, label_key string, score double")
+
+
 def best_matches(matches: DataFrame, limit: int = 1) -> DataFrame:
     """The best so many labels of each word; ties by label."""
     place = F.row_number().over(Window.partitionBy("word_key").orderBy(F.desc("score"), "label_key"))
     return matches.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def ground(terms: DataFrame, index: DataFrame, word: str = "word", cutoff: float = CUTOFF) -> DataFrame:
-    """(word, key, match, score, concept): exact first (even if ambiguous), then fuzzy for what is left; distinct words."""
+def ground(terms: DataFrame, index: DataFrame, word: str = "word", cutoff: float = CUTOFF, near: DataFrame | None = None) -> DataFrame:
+    """(word, key, match, score, concept): exact first (even if ambiguous), then fuzzy for what is left, by the index ``near`` where one is given; distinct words."""
+    near = index if near is None else near
     words = terms.select(F.col(word).alias("word")).distinct().withColumn("key", norm_key(F.col("word"))).where("key != ''")
     exact = words.join(index, "key", "left").select("word", "key", "concept", "is_ambiguous", "n_concepts")
     rest = exact.where("concept is null").select("key")
-    fuzzy = best_matches(fuzzy_matches(rest, index, cutoff)).select(F.col("word_key").alias("key"), F.col("label_key"), "score")
-    fuzzy = fuzzy.join(index.select(F.col("key").alias("label_key"), F.col("concept").alias("near")), "label_key")
+    fuzzy = best_matches(fuzzy_matches(rest, near, cutoff)).select(F.col("word_key").alias("key"), F.col("label_key"), "score")
+    fuzzy = fuzzy.join(near.select(F.col("key").alias("label_key"), F.col("concept").alias("near")), "label_key")
     joined = exact.join(fuzzy.select("key", "near", "score", "label_key"), "key", "left")
     match = F.when(F.col("concept").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy").otherwise("none")
     return joined.select("word", "key", match.alias("match"), F.when(F.col("concept").isNotNull(), 100.0).otherwise(F.col("score")).alias("score"), F.coalesce("concept", "near").alias("concept"), F.coalesce("is_ambiguous", F.lit(False)).alias("is_ambiguous"))
@@ -92,10 +129,10 @@ def coverage(grounded: DataFrame, *by: str) -> DataFrame:
 CATEGORIES = ("AMBIGUOUS", "NOT_IN_GRAPH", "EXACT_HIT", "FUZZY_HIT")
 
 
-def diagnose(terms: DataFrame, index: DataFrame, word: str = "word", cutoff: float = CUTOFF) -> DataFrame:
+def diagnose(terms: DataFrame, index: DataFrame, word: str = "word", cutoff: float = CUTOFF, near: DataFrame | None = None) -> DataFrame:
     """(term, category, freq): ambiguity comes before grounding; malformed terms are left out."""
     freq = terms.where(F.col(word).isNotNull() & ~is_malformed_term(F.col(word))).groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
-    found = ground(freq, index, "word", cutoff)
+    found = ground(freq, index, "word", cutoff, near)
     category = F.when(F.col("is_ambiguous"), "AMBIGUOUS").when(F.col("match") == "none", "NOT_IN_GRAPH").when(F.col("match") == "exact", "EXACT_HIT").otherwise("FUZZY_HIT")
     return freq.join(found, "word").select(F.col("word").alias("term"), category.alias("category"), "freq")
 

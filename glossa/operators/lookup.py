@@ -52,13 +52,14 @@ def semantic_best(queries: DataFrame, corpus: DataFrame, threshold: float = THRE
     return similar(queries, corpus, threshold).groupBy("query").agg(F.max_by(F.struct("item", "key", "sim"), F.struct("sim", -F.col("item"))).alias("b")).select("query", "b.*")
 
 
-def cascade(terms: DataFrame, index: DataFrame, cutoff: float = 90) -> DataFrame:
-    """(term, match_kind, confidence, id, n_alternatives): ambiguous or exact, then fuzzy for what is left, then none."""
+def cascade(terms: DataFrame, index: DataFrame, cutoff: float = 90, near: DataFrame | None = None) -> DataFrame:
+    """(term, match_kind, confidence, id, n_alternatives): ambiguous or exact, then fuzzy for what is left (by the index ``near`` where one is given), then none."""
+    near = index if near is None else near
     own = terms.select("term").distinct().withColumn("key", norm_key(F.col("term")))
     exact = own.join(index, "key", "left")
     rest = exact.where("concept is null and key <> ''").select("key")
-    fuzzy = best_matches(fuzzy_matches(rest, index, cutoff)).select(F.col("word_key").alias("key"), F.col("label_key"), "score")
-    near = fuzzy.join(index.select(F.col("key").alias("label_key"), F.col("concept").alias("near")), "label_key").select("key", "near", "score")
+    fuzzy = best_matches(fuzzy_matches(rest, near, cutoff)).select(F.col("word_key").alias("key"), F.col("label_key"), "score")
+    near = fuzzy.join(near.select(F.col("key").alias("label_key"), F.col("concept").alias("near")), "label_key").select("key", "near", "score")
     joined = exact.join(near, "key", "left")
     kind = F.when(F.col("concept").isNotNull(), "exact").when(F.col("near").isNotNull(), "fuzzy").otherwise("none")
     return joined.select("term", kind.alias("match_kind"), F.when(F.col("concept").isNotNull(), 100.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("confidence"), F.coalesce("concept", "near")["id"].alias("id"), F.coalesce("n_concepts", F.lit(0)).alias("n_alternatives"))

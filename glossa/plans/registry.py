@@ -96,11 +96,18 @@ SELECT CASE WHEN x.n_concepts > 1 THEN 'AMBIGUOUS' WHEN x.id IS NULL THEN 'NOT_I
 FROM o LEFT JOIN label_index x ON x.key = replace(o.term, 'ß', 'ss') GROUP BY 1"""
 )
 def ccr_diagnostic(t: Tables) -> DataFrame:
-    """With a cutoff of 100 the fuzzy stage finds what the exact one finds, so SQL can follow; fuzzy hits are tested on fixtures."""
+    """The exact stage alone, which SQL can follow: at a cutoff of 100 no hit is fuzzy. The whole is ``ccr_diagnostic_fuzzy``."""
     found = grounding.diagnose(t.occurrences(), grounding.label_index(t.concepts()), cutoff=100)
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("terms"), F.sum("freq").alias("occurrences"))
 
 
+@query()
+def ccr_diagnostic_fuzzy(t: Tables) -> DataFrame:
+    """All document words at the default cutoff; tested against brute force."""
+    found = grounding.diagnose(t.occurrences(), grounding.label_index(t.concepts()), near=grounding.fuzzy_index(t.concepts()))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("terms"), F.sum("freq").alias("occurrences"))
+
+
 @query(", p AS (SELECT id, fr_label AS label FROM concept WHERE level = 4 AND fr_label IS NOT NULL), q AS (SELECT DISTINCT w AS term FROM vocab WHERE length(w) >= 5) SELECT term, count(*) AS hits, min(id) AS first FROM q JOIN p ON contains(p.label, q.term) GROUP BY term")
 def substring_candidates(t: Tables) -> DataFrame:
     words = t.vocab().where(F.length("w") >= 5).select(F.col("w").alias("term"))
@@ -668,12 +675,20 @@ def htm_vector(t: Tables) -> DataFrame:
 
 @query(", q AS (SELECT DISTINCT word AS term FROM span) SELECT CASE WHEN x.id IS NULL THEN 'none' ELSE 'exact' END AS match_kind, count(*) AS terms, sum(coalesce(n_concepts, 0))::BIGINT AS alternatives FROM q LEFT JOIN label_index x ON x.key = replace(q.term, 'ß', 'ss') GROUP BY 1")
 def lookup_cascade(t: Tables) -> DataFrame:
-    """With a cutoff of 100, as ``ccr_diagnostic``."""
+    """With a cutoff of 100, as ``ccr_diagnostic``. The whole is ``lookup_cascade_fuzzy``."""
     terms = t.spans().select(F.col("word").alias("term"))
     found = lookup.cascade(terms, grounding.label_index(t.concepts()), 100)
     return found.groupBy("match_kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_alternatives").alias("alternatives"))
 
 
+@query()
+def lookup_cascade_fuzzy(t: Tables) -> DataFrame:
+    """At the default cutoff, as ``ccr_diagnostic_fuzzy``."""
+    terms = t.spans().select(F.col("word").alias("term"))
+    found = lookup.cascade(terms, grounding.label_index(t.concepts()), near=grounding.fuzzy_index(t.concepts()))
+    return found.groupBy("match_kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_alternatives").alias("alternatives"))
+
+
 @query(""", cd AS (SELECT lang AS term, source AS id, n_chars % 101 AS score, doc_id AS arrival FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY term, id ORDER BY score DESC, arrival) AS r FROM cd)
 SELECT term, id, score, arrival, rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, arrival, id) AS rank FROM b WHERE r = 1) WHERE rank <= 8""")
 def candidate_merge(t: Tables) -> DataFrame:
