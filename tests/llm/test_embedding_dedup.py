@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from glossa.llm import embedding_dedup as E
 
@@ -57,3 +58,25 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(7, [1.0, 0.0], 1, "x")], "vec_id long, embedding array<float>, label int, n_links string")
     assert [tuple(r) for r in E.near_duplicates(df).collect()] == [(7, 0, 7, True)]
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def few_pairs():
+    """Vectors without links but for two lone pairs, each with an id that 50 divides."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=32).tolist(), 1) for i in range(400)]
+    for i in (100, 250):
+        rows[i + 7] = (i + 7, (np.array(rows[i][1]) + 0.01 * rng.normal(size=32)).tolist(), 1)
+    return rows
+
+
+def test_audit_joins_links_that_a_start_lost(spark, monkeypatch):
+    """Of two lone pairs that a start does not see, the audit sees both; too few found links are an error, and links that it finds count."""
+    rows, schema = few_pairs(), "vec_id long, embedding array<float>, label int"
+    df = spark.createDataFrame(rows, schema)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()} == brute(rows)
+    monkeypatch.setattr(E, "_found", lambda names, cosine, floor, take, least: None)  # a search that finds nothing
+    monkeypatch.setattr(E, "STARTS", 1)
+    with pytest.raises(RuntimeError, match="0 of 2 audited links"):
+        E.near_duplicates(df)
+    monkeypatch.setattr(E, "RECALL", 0.0)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()} == brute(rows)
