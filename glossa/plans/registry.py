@@ -63,28 +63,21 @@ def ambiguity_report(t: Tables) -> DataFrame:
     return own.join(spans, "key", "left").groupBy("key", "n_concepts").agg(F.count("word").alias("spans"), F.countDistinct("source").alias("sources"))
 
 
-FUZZY_WORDS = ", bw AS (SELECT DISTINCT replace(w, 'ß', 'ss') AS a FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS w FROM benchmark)), plain AS (SELECT key FROM label_index WHERE level = 4)"
-
-
-def bench_words(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zà-ÿ]+"), F.lit(0))).alias("w")).select(T.norm_key(F.col("w"), wide=False).alias("key")).distinct()
-
-
-def _labels(t: Tables, level: int = 4) -> DataFrame:
-    return grounding.label_index(t.concepts()).where(F.col("concept.level") == level)
+def document_words(t: Tables) -> DataFrame:
+    return t.spans().select(T.norm_key(F.col("word"), wide=False).alias("key")).distinct()
 
 
 @query()
 def fuzzy_ground(t: Tables) -> DataFrame:
     """Tested against brute force: SQL has no Indel ratio that is quick enough on all pairs."""
-    return grounding.best_matches(grounding.fuzzy_matches(bench_words(t), _labels(t), 80.0)).select("word_key", "label_key", F.round("score", 6).alias("score"))
+    return grounding.best_matches(grounding.fuzzy_matches(document_words(t), grounding.fuzzy_index(t.concepts()), 80.0)).select("word_key", "label_key", F.round("score", 6).alias("score"))
 
 
 @query()
 def fuzzy_topk(t: Tables) -> DataFrame:
     """The best three labels of each word, then one per concept."""
-    index = _labels(t)
-    best = grounding.best_matches(grounding.fuzzy_matches(bench_words(t), index, 75.0), 3)
+    index = grounding.fuzzy_index(t.concepts())
+    best = grounding.best_matches(grounding.fuzzy_matches(document_words(t), index, 75.0), 3)
     rows = best.join(index.select(F.col("key").alias("label_key"), F.col("concept.id").alias("id")), "label_key")
     first = F.row_number().over(Window.partitionBy("word_key", "id").orderBy("place"))
     return rows.withColumn("own", first).where("own = 1").select("word_key", "label_key", "id", "place", F.round("score", 6).alias("score"))
@@ -110,11 +103,20 @@ def ccr_diagnostic_fuzzy(t: Tables) -> DataFrame:
 
 @query(", p AS (SELECT id, fr_label AS label FROM concept WHERE level = 4 AND fr_label IS NOT NULL), q AS (SELECT DISTINCT w AS term FROM vocab WHERE length(w) >= 5) SELECT term, count(*) AS hits, min(id) AS first FROM q JOIN p ON contains(p.label, q.term) GROUP BY term")
 def substring_candidates(t: Tables) -> DataFrame:
+    """A part that SQL can follow: words of the benchmark and labels of parts. The whole is ``substring_candidates_documents``."""
     words = t.vocab().where(F.length("w") >= 5).select(F.col("w").alias("term"))
     hits = lookup.substring_candidates(words, t.concepts().where("level = 4"), "fr_label", 5, 1_000_000_000)
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first"))
 
 
+@query()
+def substring_candidates_documents(t: Tables) -> DataFrame:
+    """All document words and the labels of the two lowest tiers; tested against brute force."""
+    words = t.spans().select(F.col("word").alias("term"))
+    hits = lookup.substring_candidates(words, t.concepts().where(F.col("tier").isin(*grounding.FUZZY_TIERS)), "fr_label", limit=1_000_000_000)
+    return hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first"))
+
+
 # ---- scans and filters --------------------------------------------------------------------------------------------
 
 

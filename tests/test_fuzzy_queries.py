@@ -78,3 +78,28 @@ def test_diagnosis_of_whole_documents_has_fuzzy_hits(spark, small):
     assert {r.category: (r.terms, r.occurrences) for r in got.collect()} == want
     got = registry.queries()["lookup_cascade_fuzzy"](spark, small)
     assert {r.match_kind: (r.terms, r.alternatives) for r in got.collect()} == kinds
+
+
+def test_words_of_whole_documents_meet_leaf_labels(spark, small):
+    words = set(occurrences())
+    assert "solitair" in words and not any("solitair" in x for x in BENCH)
+    got = {r.word_key: (r.label_key, r.score) for r in registry.queries()["fuzzy_ground"](spark, small).collect()}
+    best = {w: near(w, 80)[0] for w in words if near(w, 80)}
+    assert got == {w: (x, round(-s, 6)) for w, (s, x) in best.items()}
+    want = set()
+    for w in words:
+        seen = set()
+        for place, (s, x) in enumerate(near(w, 75)[:3], 1):
+            one = min(labels()[x])[1]
+            if one not in seen:
+                want.add((w, x, one, place, round(-s, 6)))
+            seen.add(one)
+    assert any(" " in row[1] for row in want)  # labels of leaves
+    assert {tuple(r) for r in registry.queries()["fuzzy_topk"](spark, small).collect()} == want
+
+
+def test_substrings_of_whole_documents(spark, small):
+    held = {w: [i for x, own in labels().items() if w in x for level, i in own if level >= 4] for w in occurrences()}
+    assert len(held["foxx"]) == 2  # a word of four letters, in a part's label and in a leaf's
+    got = {r.term: (r.hits, r.first) for r in registry.queries()["substring_candidates_documents"](spark, small).collect()}
+    assert got == {w: (len(ids), min(ids)) for w, ids in held.items() if ids}
