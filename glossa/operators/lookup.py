@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from glossa.functions.similarity import cosine
 from glossa.functions.text import norm_key
 from glossa.operators.grounding import best_matches, fuzzy_matches
 
 THRESHOLD, TOP, LIMIT = 0.55, 5, 8
 FLOOR = 0.85
+#: Blocks of queries that meet blocks of items.
+BLOCKS = 8
 
 
 def substring_candidates(terms: DataFrame, concepts: DataFrame, label: str, least: int = 3, limit: int = 8) -> DataFrame:
@@ -29,17 +35,46 @@ def substring_candidates(terms: DataFrame, concepts: DataFrame, label: str, leas
     return hits.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
-def similar(queries: DataFrame, corpus: DataFrame, floor: float) -> DataFrame:
-    """(query, item, key, sim) with sim of at least ``floor``. The query set is stated and small; its size is checked before it is broadcast."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("semantic search takes up to 10,000 queries at once; split the set")
-    rows = corpus.join(F.broadcast(queries))
-    return rows.withColumn("sim", cosine(F.col("q_vector"), F.col("vector"))).where(F.col("sim") >= floor).select("query", "item", "key", "sim")
-
+def similar(queries: DataFrame, corpus: DataFrame, floor: float, itself: bool = True) -> DataFrame:
+    """(query, item, key, sim) with sim of at least ``floor``; without ``itself``, an item of the query's id is left out.
 
-def semantic_top(queries: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, k: int = TOP) -> DataFrame:
+    Blocks of queries meet blocks of items and only what is above the floor becomes a row. A zero vector, or one of
+    another length, has no similarity.
+    """
+    n = max(1, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    usable = lambda c: F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull())
+    asked = queries.where(usable("q_vector")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(BLOCKS)))
+    own = corpus.where(usable("vector")).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(n)))
+    left = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), "query", F.col("q_vector").cast("array<double>").alias("q_vector"))
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"), "part", "item", "key", F.col("vector").cast("array<double>").alias("vector"))
+    schema = StructType([left.schema["query"], right.schema["item"], right.schema["key"], StructField("sim", DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        for i, j, sim in _near(a.column("q_vector").combine_chunks(), b.column("vector").combine_chunks(), floor):
+            found.append(pa.table([a.column("query").take(i), b.column("item").take(j), b.column("key").take(j), sim], names=["query", "item", "key", "sim"]))
+        return pa.concat_tables(found) if found else pa.table([a.column("query")[:0], b.column("item")[:0], b.column("key")[:0], pa.array([], pa.float64())], names=["query", "item", "key", "sim"])
+
+    rows = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, schema)
+    return rows if itself else rows.where("query <> item")
+
+
+def _near(a: pa.Array, b: pa.Array, floor: float) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """(rows of a, rows of b, cosine) of the pairs at or above the floor, some rows of ``a`` at a time."""
+    sizes = a.value_lengths().to_numpy(zero_copy_only=False), b.value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.intersect1d(*sizes):
+        i, j = (np.flatnonzero(s == size) for s in sizes)
+        x, y = (v.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).reshape(len(k), int(size)) for v, k in ((a, i), (b, j)))
+        x, y = x / np.sqrt((x * x).sum(1))[:, None], y / np.sqrt((y * y).sum(1))[:, None]
+        for at in range(0, len(i), 256):
+            sim = x[at : at + 256] @ y.T
+            p, q = np.nonzero(sim >= floor)
+            yield pa.array(i[at + p]), pa.array(j[q]), pa.array(sim[p, q])
+
+
+def semantic_top(queries: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, k: int = TOP, itself: bool = True) -> DataFrame:
     """The first 3k items of each query above the floor, one per key, at most k."""
-    near = similar(queries, corpus, threshold * FLOOR)
+    near = similar(queries, corpus, threshold * FLOOR, itself)
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "item"))
     near = near.withColumn("place", first).where(F.col("place") <= 3 * k)
     own = F.row_number().over(Window.partitionBy("query", "key").orderBy("place"))
@@ -48,8 +83,8 @@ def semantic_top(queries: DataFrame, corpus: DataFrame, threshold: float = THRES
     return near.withColumn("rank", again).where(F.col("rank") <= k).select("query", "item", "key", "sim", "rank")
 
 
-def semantic_best(queries: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return similar(queries, corpus, threshold).groupBy("query").agg(F.max_by(F.struct("item", "key", "sim"), F.struct("sim", -F.col("item"))).alias("b")).select("query", "b.*")
+def semantic_best(queries: DataFrame, corpus: DataFrame, threshold: float = THRESHOLD, itself: bool = True) -> DataFrame:
+    return similar(queries, corpus, threshold, itself).groupBy("query").agg(F.max_by(F.struct("item", "key", "sim"), F.struct("sim", -F.col("item"))).alias("b")).select("query", "b.*")
 
 
 def cascade(terms: DataFrame, index: DataFrame, cutoff: float = 90, near: DataFrame | None = None) -> DataFrame:

@@ -631,7 +631,7 @@ def taxonomy(t: Tables) -> DataFrame:
 
 
 def vector_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The first vector of each label asks; all others answer."""
+    """The first vector of each label asks; all others answer. SQL follows this; ``all_vectors`` is the whole."""
     e = t.embeddings
     first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     asked = e.join(first, ["label", "vec_id"], "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
@@ -655,6 +655,24 @@ def semantic_best(t: Tables) -> DataFrame:
     return lookup.semantic_best(*vector_sets(t), threshold=0.2).withColumn("sim", F.round("sim", 6))
 
 
+def all_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every vector whose id is divisible by 50 asks; all vectors answer."""
+    e = t.embeddings
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
+    return asked, e.select(F.col("vec_id").alias("item"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
+
+
+@query()
+def semantic_topk_all(t: Tables) -> DataFrame:
+    """``semantic_topk`` with a query set that grows with the table; a vector does not find itself."""
+    return lookup.semantic_top(*all_vectors(t), threshold=0.3, itself=False).withColumn("sim", F.round("sim", 6))
+
+
+@query()
+def semantic_best_all(t: Tables) -> DataFrame:
+    return lookup.semantic_best(*all_vectors(t), threshold=0.2, itself=False).withColumn("sim", F.round("sim", 6))
+
+
 @query(""", sc AS (SELECT label, vec_id, 0.5 * s - 0.2 * abs(p_size - 25) AS score FROM (SELECT label, vec_id, p_size, list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]) AS s FROM embeddings e JOIN part ON p_partkey = vec_id JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) f USING (label)))
 SELECT label AS term, vec_id AS en, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM sc) WHERE r = 1""")
 def planning_locks(t: Tables) -> DataFrame:
