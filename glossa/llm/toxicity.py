@@ -7,9 +7,8 @@ and its beginnings, each as a code of ``CODE`` bytes. The dictionaries are train
 units that are typical of their class. A logistic curve over the hits of a whole text, fitted on texts that the
 dictionaries were not trained on (two folds), gives the score; 0.5 is its calibrated threshold.
 
-Training is bounded: at most ``SAMPLE`` labelled texts of a class, drawn by a hash of their ids, and ``SLICE``
-characters of each from a drawn place (scores and the fit of the curve use whole texts). The model is about 1 MB,
-whatever the corpus.
+Training is bounded: at most ``SAMPLE`` labelled texts of a class, drawn by a hash of their ids; each is read whole.
+The model is about 1 MB, whatever the corpus.
 
 Defined results: null and empty texts have no windows and get the curve's value there; rows without an id count as
 id ''; repeated labels of a document count once, toxic if any says so; null labels play no part; without labels
@@ -40,7 +39,6 @@ CODE = 12
 GAINS = (10, 14, 18)
 #: Labelled texts of a class, and characters of each, that the dictionaries are trained on.
 SAMPLE = 3000
-SLICE = 6000
 #: A unit is typical of toxic text if that share of the texts has it, three at least, and it is so many times as frequent there.
 TYPICAL_SHARE, TYPICAL_TIMES = 0.008, 12.0
 #: Units of a dictionary.
@@ -176,11 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     drawn = stash(drawn, "drawn")
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("fold", _hash_fold(F.col("doc_id")))
     texts = stash(texts, "toxic-sample")
-    start = 1 + F.col("at") % F.greatest(F.lit(1), F.length("text") - SLICE + 1)
     sets: dict[tuple[int, int], Counter] = {(t, f): Counter() for t in (0, 1) for f in (0, 1)}
     count: Counter = Counter()
     seen = set()
-    for row in texts.select("toxic", "fold", F.substring("text", start, F.lit(SLICE)).alias("text")).orderBy("toxic", "text").toLocalIterator():
+    for row in texts.select("toxic", "fold", "text").orderBy("toxic", "text").toLocalIterator():
         words = set(WORDS.findall((row.text or "").lower()))
         if (mark := hash(frozenset(words))) not in seen:
             seen.add(mark)

@@ -54,3 +54,17 @@ def test_dictionaries_save_on_their_own_words():
     model = X._choose(Counter({u: 9 for w in STEMS for u in X.units(w)}), Counter({u: 50 for w in WORDS for u in X.units(w)}), 20, 100)
     scorer = X.Scorer(model)
     assert min(scorer.gain(w) for w in STEMS) > 12 and max(scorer.gain(w) for w in WORDS) < 6
+
+
+def test_units_of_whole_texts_are_learnt(spark):
+    """The one toxic word of a long document may stand anywhere; it gets into the dictionary."""
+    rng = random.Random(11)
+    pool, rows = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)], []
+    for i in range(120):
+        words = rng.choices(pool, k=20_000)
+        if i % 2:
+            words[rng.randrange(20_000)] = "zzyzzxyq"
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert any(X.code(u) in d for d in vars(model).values() if isinstance(d, bytes) for u in X.units("zzyzzxyq"))
