@@ -1,5 +1,9 @@
+import math
 import random
+import re
 
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from glossa.llm import toxicity as X
@@ -48,12 +52,51 @@ def test_labels_of_one_class_or_none(spark):
     assert X.score(docs, X.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).first().score == 1.0
 
 
+def test_scores_by_brute_force(spark):
+    """Scores follow from the two dictionaries, windows of compressed text and the curve alone."""
+    docs, labels, _ = tables(spark, 200)
+    model = X.fit(docs, labels)
+
+    def size(data, dictionary):
+        how = zstandard.ZstdCompressionParameters(
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, window_log=19, hash_log=17, chain_log=17, search_log=1, min_match=7, strategy=1
+        )
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(data))
+
+    for row in X.score(docs.limit(40), model).collect():
+        words = re.findall(r"[^\W\d_]+", row.text.lower())
+        saved = []
+        for i in range(0, len(words), X.WINDOW):
+            data = b"".join(xxhash.xxh3_64_digest(u.encode()) for w in words[i : i + X.WINDOW] for u in ["^" + w + "$", *["^" + w[:k] for k in range(3, min(10, len(w)) + 1)]])
+            plain = size(data, model.ordinary + bytes(len(model.toxic)) + b"\xff" * 16)
+            saved.append(plain - size(data, model.ordinary + model.toxic + b"\xff" * 16))
+        hits = [g for g in saved if g >= model.gain]
+        x = (1.0, math.log1p(len(hits)), math.log1p(sum(hits)), math.log1p(1000 * len(hits) / max(len(saved), 1)))
+        assert math.isclose(row.score, 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))), rel_tol=1e-9)
+
+
 def test_dictionaries_save_on_their_own_words():
-    from collections import Counter
+    ordinary, toxic = (b"".join(map(X.spelt, w)) for w in (WORDS, STEMS))
+    scorer = X.Scorer(X.Model(ordinary, toxic))
+    assert all(scorer.gains(w + " tolmi")[0] > 20 for w in STEMS) and scorer.gains(" ".join(WORDS)) == [0] * -(-len(WORDS) // X.WINDOW)
 
-    model = X._choose(Counter({u: 9 for w in STEMS for u in X.units(w)}), Counter({u: 50 for w in WORDS for u in X.units(w)}), 20, 100)
-    scorer = X.Scorer(model)
-    assert min(scorer.gain(w) for w in STEMS) > 12 and max(scorer.gain(w) for w in WORDS) < 6
+
+def test_copies_of_a_text_weigh_little_but_count():
+    one, many = X.Texts(), X.Texts()
+    for _ in range(64):
+        one.add("vilgor smutch")
+    for i in range(64):
+        many.add("vilgor " + WORDS[i % 35] + "x" * (i // 35))
+    assert one.count()[2] == 4 and many.count()[2] == 64
+
+
+def test_toxic_copies_are_learnt(spark):
+    """Every fourth row is toxic, all with the same words."""
+    rng = random.Random(3)
+    rows = [(i, "vilgor smutch " * 3 if i % 4 == 0 else " ".join(rng.choices(WORDS, k=20)), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in X.score(docs, model).collect())
 
 
 def test_units_of_whole_texts_are_learnt(spark):
