@@ -3,16 +3,19 @@
 A sequence of tokens is what merging by rank gives if and only if each adjacent pair of it is
 (given a vocabulary where each token is reachable). So each byte prefix of a piece has exactly one
 last token that continues the encoding of the rest, and ``last[i]`` of all prefixes is enough to encode
-any prefix, to append bytes exactly and to encode again near an edit.
+any prefix, to append bytes exactly and to encode again near an edit (``Prefixes``). Whole texts are encoded with the same table,
+filled only where a walk from the longest tokens on needs it (``Vocabulary.on_demand``).
 
 Defined results: null counts as the empty text, which has no tokens and the digest of the
-empty string; repeated rows repeat; texts and single pieces of any length are encoded whole.
+empty string; repeated rows repeat; texts and single pieces of any length are encoded whole, in time and memory
+in proportion to their bytes; an empty table gives an empty table; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -130,58 +133,60 @@ class Vocabulary:
         return known
 
 
-    def encode(self, data: bytes) -> list[int]:
-        """The prefix table on demand: only prefixes that a longest-token-first walk meets get their last token.
+    def on_demand(self, data: bytes) -> array:
+        """The prefix table as far as the whole text needs it: the last token of the prefixes that a longest-token-first walk meets, -1 elsewhere.
 
         Each prefix has one valid last token, so it is entered once at most and the walk ends after
-        as many steps as there are prefixes, usually after one for each token.
+        as many steps as there are prefixes, usually after one for each token. The table is also the way back.
         """
-        root, fits, pairs = self.root, self.fits, self._pairs.get
+        root, fits, pairs, size_of, longest = self.root, self.fits, self._pairs.get, self.size_of, self.longest
         size = len(data)
-        last: dict[int, int] = {0: -1}
-        begin, open_ = 0, []
-        while True:
+        last = array("i", (-1,)) * (size + 1)
+        begin = 0
+        while begin < size:
             node, here = root, []
-            for byte in data[begin:]:
+            for byte in data[begin : begin + longest]:
                 hit = node.get(byte)
                 if hit is None:
                     break
                 node = hit[0]
                 here.append(hit[1])
-            while True:
-                before = last[begin]
-                left = before << 32
-                while here:
-                    token = here.pop()
-                    if token < 0:
-                        continue
-                    end = begin + len(here) + 1
-                    if end in last:
-                        continue
-                    if before >= 0:
-                        known = pairs(left | token)
-                        if known is None:
-                            known = fits(before, token)
-                        if not known:
-                            continue
-                    last[end] = token
-                    break
-                else:
-                    if not open_:
-                        raise ValueError("no encoding: the vocabulary has tokens that merging can't reach")
-                    begin, here = open_.pop()
+            before = last[begin]
+            left = before << 32
+            while here:
+                token = here.pop()
+                end = begin + len(here) + 1
+                if token < 0 or last[end] >= 0:
                     continue
+                if before >= 0:
+                    known = pairs(left | token)
+                    if known is None:
+                        known = fits(before, token)
+                    if not known:
+                        continue
+                last[end] = token
+                begin = end
                 break
-            if end == size:
-                out, size_of = [], self.size_of
-                while end:
-                    token = last[end]
-                    out.append(token)
-                    end -= size_of[token]
-                out.reverse()
-                return out
-            open_.append((begin, here))
-            begin = end
+            else:
+                if not begin:
+                    raise ValueError("no encoding: the vocabulary has tokens that merging can't reach")
+                begin -= size_of[before]
+        return last
+
+    def read_back(self, last: array | list[int], end: int) -> list[int]:
+        """The tokens of a prefix, from its last one to the first."""
+        size_of, out = self.size_of, []
+        while end:
+            token = last[end]
+            if token < 0:
+                raise ValueError("no token ends here: the vocabulary has tokens that merging can't reach")
+            out.append(token)
+            end -= size_of[token]
+        out.reverse()
+        return out
+
+    def encode(self, data: bytes) -> list[int]:
+        return self.read_back(self.on_demand(data), len(data))
 
 
 class Prefixes:
@@ -220,15 +225,7 @@ class Prefixes:
         return self.append(new + tail)
 
     def tokens(self, end: int | None = None) -> list[int]:
-        at = len(self.data) if end is None else end
-        out = []
-        while at:
-            token = self.last[at]
-            if token < 0:
-                raise ValueError("no token ends here: the vocabulary has tokens that merging can't reach")
-            out.append(token)
-            at -= len(self.vocabulary.bytes_of[token])
-        return out[::-1]
+        return self.vocabulary.read_back(self.last, len(self.data) if end is None else end)
 
 
 class Encoder:

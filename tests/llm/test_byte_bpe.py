@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -57,6 +58,31 @@ def test_prefix_table_gives_every_prefix(pair):
     assert table.replace(5, 8, b"XYZ").tokens() == library._encode_bytes(b"interXYZionalisation")
 
 
+def test_both_ways_fill_one_table(pair):
+    ours, _ = pair
+    rng = random.Random(4)
+    for _ in range(500):
+        data = "".join(rng.choice("abcdeinst\x85é漢") for _ in range(rng.randint(0, 60))).encode()
+        whole = byte_bpe.Prefixes(ours.vocabulary, data)
+        some = ours.vocabulary.on_demand(data)
+        assert all(token in (-1, whole.last[end]) for end, token in enumerate(some))
+        assert ours.vocabulary.encode(data) == whole.tokens()
+
+
+def test_long_pieces_take_time_in_proportion(pair):
+    ours, library = pair
+    rng = random.Random(8)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    took = []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        ids = ours.vocabulary.encode(text[:size].encode())
+        took.append(time.process_time() - began)
+        assert ours.decode(ids) == text[:size].encode()
+    assert took[1] < 30 * took[0]
+    assert ours.vocabulary.encode(text[:20_000].encode()) == library._encode_bytes(text[:20_000].encode())
+
+
 def test_operator_on_nulls_repeats_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (3, "", "y")], "doc_id long, text string, n_tokens string")
     rows = byte_bpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
