@@ -4,12 +4,12 @@ Three strong kinds are reported wherever they stand (``BASE_KINDS``). Three weak
 which alone are mostly noise, are reported only if complementary parts stand together:
 an *identifier* and a *secret key* within ``reach`` code points of each other in one scope, or
 an *endpoint* and a secret key. A scope is a run of lines without a blank line between them.
-The join of the parts is an interval join by sweep: parts are sorted by position and
-each looks at its neighbours within reach, so its cost follows the number of parts and not
+The join of the parts is an interval join by sweep: parts are sorted by position, and
+each looks at the nearest part behind it and at how far those before it reach, so its cost follows the number of parts and not
 the number of pairs.
 
 Defined results: null and empty texts have no spans; every row gives one row, repeated rows
-repeat; positions are code points, end exclusive. Texts of any length are scanned whole.
+repeat; an empty table gives an empty table; positions are code points, end exclusive. Texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,11 +68,12 @@ def linked_spans(text: str, base: list[tuple[str, int, int, int]], reach: int =
     if not secrets and not strong:
         return []
     taken = sorted((s, e) for s, e, _ in strong)
+    ends_so_far = list(accumulate((e for _, e in taken), max))
 
     def free(s: int, e: int) -> bool:
         """Not a part of a strong span."""
         i = bisect.bisect_left(taken, (e, -1))
-        return i == 0 or max(b for _, b in taken[max(0, i - 3) : i]) <= s
+        return i == 0 or ends_so_far[i - 1] <= s
 
     weak_ids = [(m.start(), m.end()) for m in IDENTIFIER.finditer(text) if free(m.start(), m.end())]
     weak_keys = [(s, e) for s, e in secrets if free(s, e)]
@@ -80,20 +82,26 @@ def linked_spans(text: str, base: list[tuple[str, int, int, int]], reach: int =
     keys = sorted(weak_keys + [(s, e) for s, e, k in strong if k != "access"])
     marks = sorted(identifiers + weak_ids + ends)
 
-    def near(part: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-        """Whether one of the sorted others starts within reach of this part, in its scope."""
-        scope = bisect.bisect_right(breaks, part[0])
-        i = bisect.bisect_left(others, (part[0], -1))
-        for j in (i - 1, i, i + 1):
-            if 0 <= j < len(others) and others[j] != part:
-                gap = others[j][0] - part[1] if others[j][0] >= part[0] else part[0] - others[j][1]
-                if gap <= reach and bisect.bisect_right(breaks, others[j][0]) == scope:
-                    return True
-        return False
-
-    out = [("identifier", s, e, s) for s, e in weak_ids if near((s, e), keys)]
-    out += [("secret_key", s, e, s) for s, e in weak_keys if near((s, e), marks)]
-    out += [("endpoint", s, e, s) for s, e in ends if near((s, e), keys)]
+    def beside(others: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+        """Tells whether one of the sorted others stands within reach of a part, in its scope.
+
+        Of those that start later the first is nearest; of those before, the one that ends last in the scope.
+        """
+        scopes = [bisect.bisect_right(breaks, s) for s, _ in others]
+        last: list[int] = []
+        for i, (_, e) in enumerate(others):
+            last.append(max(e, last[-1]) if i and scopes[i] == scopes[i - 1] else e)
+
+        def near(s: int, e: int) -> bool:
+            scope, i = bisect.bisect_right(breaks, s), bisect.bisect_left(others, (s, -1))
+            return i < len(others) and scopes[i] == scope and others[i][0] - e <= reach or i > 0 and scopes[i - 1] == scope and s - last[i - 1] <= reach
+
+        return near
+
+    by_key, by_mark = beside(keys), beside(marks)
+    out = [("identifier", s, e, s) for s, e in weak_ids if by_key(s, e)]
+    out += [("secret_key", s, e, s) for s, e in weak_keys if by_mark(s, e)]
+    out += [("endpoint", s, e, s) for s, e in ends if by_key(s, e)]
     return out
 
 

@@ -43,6 +43,38 @@ def test_weak_parts_need_each_other():
     assert S.linked_spans("see http://example.com for more", []) == []
 
 
+def test_weak_parts_within_a_long_strong_span_stay_out():
+    key = "wJalrXUtnFEMI0K7MDENGbPxRfiCYEXAMPLEKEYa"
+    text = "secret=" + "0123456789abcdef01234567." * 5 + key
+    assert all(k in S.BASE_KINDS for k, *_ in S.linked_spans(text, S.base_spans(text)))
+
+
+def test_links_equal_all_pairs():
+    rng = random.Random(5)
+    key, name = "wJalrXUtnFEMI0K7MDENGbPxRfiCYEXAMPLEKEYa", "X1Y2Z3A4B5C6D7"
+    bits = [key, name, "https://a.example.com", "postgres://user@db", "secret=0123456789abcdef01234567.x.y.z", "token=abcdefgh", KEY, "w " * 20, "w " * 70, "\n\n", "0123456789abcdef0123456789"]
+    seen = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(2, 14)))
+        base = S.base_spans(text)
+        weak = {(m.start(), m.end()): kind for kind, rule in (("id", S.IDENTIFIER), ("key", S.SECRET_KEY)) for m in rule.finditer(text)}
+        free = {x: kind for x, kind in weak.items() if all(x[1] <= a or x[0] >= b for _, a, b, _ in base)}
+        ids, keys = ([x for x, kind in free.items() if kind == which] for which in ("id", "key"))
+        ends = [(m.start(), m.end()) for m in S.ENDPOINT.finditer(text)]
+        all_keys = keys + [(s, e) for k, s, e, _ in base if k != "access"]
+        marks = ids + ends + [(s, e) for k, s, e, _ in base if k == "access"]
+        breaks = [m.start() for m in S.SCOPE_END.finditer(text)]
+
+        def near(x, others):
+            return any(max(x[0], y[0]) - min(x[1], y[1]) <= S.REACH and sum(b <= x[0] for b in breaks) == sum(b <= y[0] for b in breaks) for y in others)
+
+        want = [("identifier", *x) for x in ids if near(x, all_keys)] + [("secret_key", *x) for x in keys if near(x, marks)] + [("endpoint", *x) for x in ends if near(x, all_keys)]
+        got = S.linked_spans(text, base)
+        assert sorted(g[:3] for g in got) == sorted(want), text
+        seen += len(want)
+    assert seen > 300
+
+
 def test_redaction_masks_values_once():
     text = 'token = "0123456789abcdef0123456789abcdef" end'
     spans = S.base_spans(text)
