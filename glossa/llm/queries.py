@@ -26,6 +26,15 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def source_mix_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts, each a member of all sources that have it, so the flow has a choice of quotas."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    texts = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.collect_set("source").alias("members"))
+    texts = docs.select("doc_id", "text").join(texts.select("doc_id", "members"), "doc_id")
+    mixed = source_mix.mix(texts.withColumn("members", F.array_sort("members")), F.col("members"))
+    return mixed.select("doc_id", "size", F.size("members").alias("n_sources"), "taken", F.array_join("credits", ",").alias("credits"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
@@ -78,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op8_media_sequence": op8_media_sequence,
         "op9_secret_scan": op9_secret_scan,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "source_mix_overlapping": source_mix_overlapping,
     }
 
 

@@ -4,7 +4,9 @@ Documents are summed by *membership pattern* (the set of sources that a document
 from patterns to the quotas of their sources; the first pass over a pattern costs nothing, each further pass
 more than the last (convex costs), so nothing is repeated before everything that can serve a quota was used
 once. The flow says how much of each pattern goes to which source; documents are then laid out in seeded
-order and those that the flow covers are taken.
+order and those that the flow covers are taken. Where a source's part of a pattern ends, the document across the end goes
+to the next part, and what then lacks is filled with the next documents that still fit; so a part misses its amount by less than
+the smallest of these.
 
 Size: driver memory and the broadcast table follow the number of patterns, at most ``MAX_PATTERNS``
 (checked; more raise an error), never the number of documents. A pattern that holds most rows is summed
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossa.llm.common import draw, stash, word_count
+from glossa.llm.common import discard, draw, stash, word_count
 
 #: Weights of the sources in their order, repeated as needed.
 WEIGHTS = (1, 2, 3)
@@ -33,8 +35,10 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 #: Patterns that the driver routes.
 MAX_PATTERNS = 100_000
-#: Seeded buckets of a pattern; only those in which a pass ends are sorted.
-BUCKET_BITS = 12
+#: Seeded buckets of a pattern; only those around the end of a source's part are sorted.
+BUCKET_BITS = 14
+#: Documents behind such an end that may fill what lacks there.
+FILLERS = 256
 
 
 def weighted_targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS) -> dict[str | None, float]:
@@ -157,6 +161,7 @@ def mix(
         _key(members).alias("pattern"),
         size.cast("long").alias("size"),
         draw(seed, F.col("doc_id")).alias("draw"),
+        F.col("doc_id").alias("id"),
     )
     rows = rows.withColumn("bucket", F.shiftright("draw", 32 - BUCKET_BITS).cast("int"))
     sums = stash(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix")
@@ -187,30 +192,79 @@ def mix(
     marks = [(keys[k], *x) for k, *x in marks]
     fact = spark.createDataFrame(facts, "pattern string, source_size long, target double")
     mark = spark.createDataFrame(marks, "pattern string, part int, pass int, offset long, source string")
-
-    by_bucket = Window.partitionBy("pattern").orderBy("bucket")
-    line = sums.withColumn("after", F.sum("words").over(by_bucket)).withColumn("before", F.col("after") - F.col("words"))
-    placed = mark.join(line, "pattern").where((F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("after")))
-    placed = placed.groupBy("pattern").agg(
-        F.array_sort(F.collect_list(F.struct("part", "pass", "bucket", (F.col("offset") - F.col("before")).alias("offset"), "source"))).alias("marks")
-    )
-    plan = stash(fact.join(placed, "pattern", "left").withColumn("exact", F.transform("marks", lambda m: m["bucket"])), "mix-plan")
+    plan = _plan(rows, sums, fact, mark)
 
     rows = rows.join(F.broadcast(plan), "pattern", "left")
-    inside = F.coalesce(F.array_contains("exact", F.col("bucket")), F.lit(False))
-    in_order = Window.partitionBy("pattern", "bucket").orderBy("draw", F.col("row.doc_id"), "size")
-    coarse = rows.where(~inside).withColumn("middle", F.lit(0.0))
-    exact = rows.where(inside).withColumn("middle", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
+    inside = F.coalesce(_inside(F.col("zones"), F.col("bucket")), F.lit(False))
+    coarse = rows.where(~inside).withColumn("pos", F.lit(0))
+    exact = rows.where(inside).withColumn("pos", F.row_number().over(_in_order()))
     rows = coarse.unionByName(exact)
 
-    def behind(k: Column, m: Column) -> Column:
-        """Whether pass k over the document lies behind the mark."""
-        same = (k == m["pass"]) & (F.col("bucket") == m["bucket"])
-        return (k > m["pass"]) | ((k == m["pass"]) & (F.col("bucket") > m["bucket"])) | (same & (F.col("middle") > m["offset"]))
+    def before(k: Column, m: Column) -> Column:
+        """Whether pass k over the document lies before the mark or was chosen to fill what lacks there."""
+        zone = (F.col("bucket") >= m["bucket"]) & (F.col("bucket") <= m["to"])
+        return (k < m["pass"]) | ((k == m["pass"]) & ((F.col("bucket") < m["bucket"]) | zone & ((F.col("pos") <= m["until"]) | F.array_contains(m["chosen"], F.col("pos")))))
+
+    def source_of(k: Column) -> Column:
+        return F.transform(F.slice(F.filter("marks", lambda m: before(k, m)), 1, 1), lambda m: m["source"])
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: F.size(F.filter("marks", lambda m: behind(k, m))))
     rows = rows.withColumn("credits", F.when((F.col("marks").isNull()) | (F.col("size") == 0), F.expr("cast(array() as array<string>)")).otherwise(
-        F.transform(F.filter(parts, lambda i: i < F.size("marks")), lambda i: F.element_at(F.col("marks"), i + 1)["source"])))
+        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), source_of))))
     added = ["size", "source_size", "target", "taken", "credits"]
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
     return rows.select(*kept, "size", "source_size", "target", (F.size("credits") * F.col("size")).cast("long").alias("taken"), "credits")
+
+
+def _in_order() -> Window:
+    return Window.partitionBy("pattern").orderBy("draw", "id", "size")
+
+
+def _inside(zones: Column, bucket: Column) -> Column:
+    return F.exists(zones, lambda z: (bucket >= z["bucket"]) & (bucket <= z["to"]))
+
+
+def _plan(rows: DataFrame, sums: DataFrame, fact: DataFrame, mark: DataFrame) -> DataFrame:
+    """Per pattern its sizes and marks: the zone of buckets around each, how many of the zone's documents lie before it, and which later ones fill the rest.
+
+    A zone begins with the mark's bucket and ends where ``FILLERS`` more documents are in it; only these documents are sorted.
+    """
+    by_bucket = Window.partitionBy("pattern").orderBy("bucket")
+    line = sums.withColumn("after", F.sum("words").over(by_bucket)).withColumn("before", F.col("after") - F.col("words")).withColumn("docs", F.sum("n").over(by_bucket))
+    placed = mark.join(line, "pattern").where((F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("after")))
+    placed = placed.select("pattern", "part", "pass", "source", "bucket", (F.col("offset") - F.col("before")).alias("offset"), (F.col("docs") + FILLERS).alias("enough"))
+    reach = placed.join(line.select("pattern", F.col("bucket").alias("b"), "docs"), "pattern").where("b >= bucket")
+    reach = reach.groupBy("pattern", "part").agg(F.coalesce(F.min(F.when(F.col("docs") >= F.col("enough"), F.col("b"))), F.max("b")).alias("to"))
+    placed = stash(placed.join(reach, ["pattern", "part"]).drop("enough"), "mix-marks")
+    zones = placed.groupBy("pattern").agg(F.collect_list(F.struct("bucket", "to")).alias("zones"))
+
+    near = rows.select("pattern", "bucket", "draw", "id", "size").join(F.broadcast(zones), "pattern").where(_inside(F.col("zones"), F.col("bucket")))
+    near = near.withColumn("pos", F.row_number().over(_in_order())).withColumn("end", F.sum("size").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    near = stash(near.select("pattern", "bucket", "pos", "size", "end"), "mix-zones")
+    begins = near.groupBy("pattern", "bucket").agg(F.min(F.col("end") - F.col("size")).alias("begin"))
+    own = placed.join(begins, ["pattern", "bucket"]).join(near.withColumnRenamed("bucket", "b"), "pattern").where("b between bucket and to")
+    own = own.withColumn("end", F.col("end") - F.col("begin"))
+    ends = own.groupBy("pattern", "part").agg(
+        F.max(F.when(F.col("end") <= F.col("offset"), F.col("pos"))).alias("until"), (F.max("offset") - F.coalesce(F.max(F.when(F.col("end") <= F.col("offset"), F.col("end"))), F.lit(0))).alias("lack")
+    )
+    later = own.where("end > offset").withColumn("place", F.row_number().over(Window.partitionBy("pattern", "part").orderBy("pos"))).where(F.col("place") <= FILLERS)
+    later = later.groupBy("pattern", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("later"))
+    found = placed.join(ends, ["pattern", "part"]).join(later, ["pattern", "part"], "left")
+
+    # In seeded order, each document that still fits; at last the one that comes nearest, if it is nearer than none.
+    nothing = F.struct(F.col("lack").alias("rest"), F.expr("cast(array() as array<int>)").alias("chosen"))
+
+    def fill(s: Column, d: Column) -> Column:
+        return F.when((d["size"] > 0) & (d["size"] <= s["rest"]), F.struct((s["rest"] - d["size"]).alias("rest"), F.concat(s["chosen"], F.array(d["pos"])).alias("chosen"))).otherwise(s)
+
+    later = F.coalesce("later", F.expr("cast(array() as array<struct<pos:int,size:bigint>>)"))
+    found = found.withColumn("filled", F.aggregate(later, nothing, fill))
+    rest, chosen = F.col("filled.rest"), F.col("filled.chosen")
+    over = F.filter(later, lambda d: (F.abs(d["size"] - rest) < rest) & ~F.array_contains(chosen, d["pos"]))
+    last = F.array_min(F.transform(over, lambda d: F.struct(F.abs(d["size"] - rest).alias("by"), d["pos"].alias("pos"))))
+    chosen = F.when(last.isNull(), chosen).otherwise(F.concat(chosen, F.array(last["pos"])))
+    found = found.select("pattern", F.struct("part", "pass", "bucket", "to", F.coalesce("until", F.lit(0)).alias("until"), chosen.alias("chosen"), "source").alias("mark"))
+    found = found.groupBy("pattern").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    plan = stash(fact.join(found, "pattern", "left").join(zones, "pattern", "left"), "mix-plan")
+    discard(placed)
+    discard(near)
+    return plan

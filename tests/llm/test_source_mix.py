@@ -72,5 +72,8 @@ def test_overlapping_sources_and_edges(spark):
     assert M.mix(docs.limit(0), F.col("own")).count() == 0
     same = spark.createDataFrame([(1, "w w", "a", 9)] * 5, "doc_id long, text string, source string, taken int")
     assert [r.taken for r in M.mix(same, F.array("source")).collect()] == [2] * 5
+    long = spark.createDataFrame([(1, "w " * 300_000, "a"), *((i, "w w", "a") for i in range(2, 60)), (60, "w", "b")], "doc_id long, text string, source string")
+    taken = {r.doc_id: (r.size, r.taken) for r in M.mix(long, F.array("source"), targets={"a": 100.0, "b": 3.0}).collect()}
+    assert taken[1][0] == 300_000 and taken[1][1] == 0 and sum(t for _, t in taken.values()) == 103
     with pytest.raises(ValueError):
         M.mix(docs, F.array(F.col("doc_id").cast("string")), max_patterns=10)
