@@ -11,7 +11,8 @@ divisible by 50 is compared with all rows, in blocks. The links that are missing
 new leaves follow, whose audit takes other ids, as the links of these are known by then. A last audit that still misses too many is an error.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without a label or id link
-with nothing; vectors of different lengths are never compared; repeated rows are copies; cosine is taken in double
+with nothing; vectors of different lengths are never compared; repeated rows are copies; of rows that share an id but not the vector or
+label, the one of least digest stands for the id; cosine is taken in double
 precision; an empty table gives an empty table. Extra columns play no part.
 """
 
@@ -38,8 +39,8 @@ ROUNDS, STARTS = 4, 3
 AUDIT, RECALL = 50, 0.999
 #: Audited vectors that are compared with all rows at once.
 AUDIT_BLOCK = 16_384
-#: Members of a block of a component; it grows with the root of large components.
-BLOCK = 48
+#: Members of a block of a component, and of those that are multiplied at once. A component of m vectors ships each ceil(m / BLOCK) times.
+BLOCK, STEP = 4096, 256
 
 _PAIR = "a long, b long, rank double"
 
@@ -139,8 +140,7 @@ def _joined(nodes: DataFrame, least: float) -> DataFrame:
 def _count_links(members: DataFrame, least: float) -> DataFrame:
     """(id, n): for (id, component, v, n), how many others of its component are linked to each."""
     sizes = stash(members.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component-sizes")
-    blocks = F.ceil(F.col("m") / F.greatest(F.lit(float(BLOCK)), F.sqrt("m"))).cast("int")
-    rows = members.join(sizes, "component").withColumn("blocks", blocks)
+    rows = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     rows = rows.withColumn("side", side).withColumn("group", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
@@ -150,13 +150,15 @@ def _count_links(members: DataFrame, least: float) -> DataFrame:
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not one.size or not two.size:
             return None
-        near = unit[one] @ unit[two].T >= least
-        if side[one[0]] == 2:
-            np.fill_diagonal(near, False)
-            return pa.RecordBatch.from_arrays([pa.array(names[one]), pa.array(near @ weight[two])], names=["id", "n"])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([names[one], names[two]])), pa.array(np.concatenate([near @ weight[two], near.T @ weight[one]]))], names=["id", "n"]
-        )
+        ones, twos = np.zeros(one.size, np.int64), np.zeros(two.size, np.int64)
+        for begin in range(0, one.size, STEP):
+            near = unit[one[begin : begin + STEP]] @ unit[two].T >= least
+            ones[begin : begin + STEP] = near @ weight[two]
+            twos += weight[one[begin : begin + STEP]] @ near
+        if side[one[0]] == 2:  # a block with itself: each is not its own partner, whatever rounding says
+            itself = np.einsum("ij,ij->i", unit, unit) >= least
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(ones - itself * weight)], names=["id", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[one], names[two]])), pa.array(np.concatenate([ones, twos]))], names=["id", "n"])
 
     return by_group(rows, "group", ["id", "side", "n", "v"], run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -214,7 +216,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     )
     narrow = rows.select("vec_id", "label", "h1", "h2")
     classes = stash(narrow.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    nodes = rows.where("h1 is not null").join(classes.withColumnRenamed("id", "vec_id"), ["label", "h1", "h2", "vec_id"]).dropDuplicates(["vec_id"])
+    main = classes.groupBy("id").agg(F.min(F.struct("h1", "h2", "label")).alias("of"), F.min_by("n", F.struct("h1", "h2", "label")).alias("n"))
+    main = main.select(F.col("id").alias("vec_id"), "of.*", "n")
+    nodes = rows.where("h1 is not null").join(main, ["label", "h1", "h2", "vec_id"]).dropDuplicates(["vec_id"])
     nodes = stash(nodes.select(F.col("vec_id").alias("id"), "label", F.size("v").alias("dim"), "v", "n", F.lit(NEIGHBOURS).alias("k")), "nodes")
 
     def near_in_leaf(ids: pa.Array, vectors: pa.Array) -> pa.RecordBatch | None:

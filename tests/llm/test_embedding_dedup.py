@@ -54,6 +54,23 @@ def test_links_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_blocks_of_large_components_count_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + 0.12 * rng.normal(size=16)).tolist(), 1) for i in range(90)]
+    rows += [(90 + i, rows[i][1], 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(E, "BLOCK", 16)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """The row of least digest stands for the id, so reruns agree."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)]
+    runs = {tuple(sorted(map(tuple, E.near_duplicates(spark.createDataFrame(r, "vec_id long, embedding array<float>, label int")).collect()))) for r in (rows, rows[::-1])}
+    assert len(runs) == 1 and len(next(iter(runs))) == 4
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(7, [1.0, 0.0], 1, "x")], "vec_id long, embedding array<float>, label int, n_links string")
     assert [tuple(r) for r in E.near_duplicates(df).collect()] == [(7, 0, 7, True)]
