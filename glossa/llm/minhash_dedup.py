@@ -12,8 +12,8 @@ At a similarity of exactly 0.75 a pair meets with probability (1 - (1 - 0.75**3)
 sketch's bound (0.55 of 84 values), which only the forest of a bucket uses, with 0.9999.
 
 Defined results: texts without words (or null) have no shingles and link with nothing; texts shorter than a shingle
-are one shingle, the whole word sequence; repeated rows are copies; rows without an id have a null component
-and are not kept; an empty table gives an empty table. Extra columns play no part.
+are one shingle, the whole word sequence; repeated rows are copies; of rows that share an id but not the text, the one of least digest
+stands for the id; rows without an id have a null component and are not kept; an empty table gives an empty table. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ PERCENT = 75
 SIDE, ROWS = 14, 3
 #: Least share of equal sketch values of a pair that is checked.
 SKETCH_LEAST = 0.55
-#: Members of a bucket that one task compares at once.
+#: Members of a bucket whose sketches one task compares at once.
 BLOCK = 256
+#: Shingles of the documents that one task compares on full sets, on either side: about 4,000 documents of usual length.
+BLOCK_SHINGLES = 1_500_000
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -126,7 +128,7 @@ def signatures(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, h1, h2, keys, sketch; the last four are null without shingles."""
+    """doc_id, the text's hash, n_shingles, h1, h2, keys, sketch; the last four are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +145,12 @@ def sign(docs: DataFrame) -> DataFrame:
                     keys[row], sketch[row] = k, s.tobytes()
             empty = n == 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, mask=empty), pa.array(h2, mask=empty), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "keys", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1, mask=empty), pa.array(h2, mask=empty), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["doc_id", "xh", "n_shingles", "h1", "h2", "keys", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("xh")).mapInArrow(run, f"doc_id {kind}, xh long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary")
 
 
 def by_group(rows: DataFrame, key: str, columns: list[str], run: Callable, schema: str) -> DataFrame:
@@ -223,25 +225,30 @@ def _pairs(xs, ys) -> pa.RecordBatch:
 def _linked(ids: pa.Array, parts: pa.Array, sides: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
     """Links between side 0 and side 1 (side 2 is both) across components, on full sets: one of each row with each component.
 
-    A row of side 1 marks its shingles; the marks that the others' sets meet are summed for all of these at once.
     """
     names, part, side = ids.to_numpy(), parts.to_numpy(), sides.to_numpy()
     sets, at = shingle_sets(texts)
     size = np.diff(at)
     if len(np.unique(part)) < 2 or not (side != 0).any() or not (side != 1).any():
         return None
-    _, place = np.unique(sets, return_inverse=True)
-    mark = np.zeros(len(place) + 1, np.int64)
+    # Postings: which of side 0 hold each shingle. A row's shared counts are those of its shingles' postings.
+    other = np.flatnonzero((side != 1) & (size > 0))
+    flat = np.concatenate([sets[at[y] : at[y + 1]] for y in other] or [sets[:0]])
+    owner = np.repeat(np.arange(other.size), size[other])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
     xs, ys = [], []
-    other = (side != 1) & (size > 0)
     for x in np.flatnonzero((side != 0) & (size > 0)):
-        own = place[at[x] : at[x + 1]]
-        mark[own] = 1
-        shared = np.add.reduceat(np.append(mark[place], 0), at[:-1])
-        mark[own] = 0
-        near = other & (part != part[x]) & (shared > 0) & (100 * shared >= PERCENT * (size + size[x] - shared))
-        hits = np.flatnonzero(near)
-        first = hits[np.unique(part[hits], return_index=True)[1]]
+        own = sets[at[x] : at[x + 1]]
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = hi - lo
+        if not n.any():
+            continue
+        hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(hits, minlength=other.size)
+        near = (part[other] != part[x]) & (shared > 0) & (100 * shared >= PERCENT * (size[other] + size[x] - shared))
+        found = other[near]
+        first = found[np.unique(part[found], return_index=True)[1]]
         xs += [min(names[x], names[y]) for y in first]
         ys += [max(names[x], names[y]) for y in first]
     return _pairs(xs, ys)
@@ -270,33 +277,34 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return both.mapInArrow(run, "x long, y long").distinct()
 
 
-def _blocks(n: Column, least: int = 1) -> Column:
-    return F.greatest(F.lit(least), F.ceil(n / BLOCK).cast("int"))
+def _blocks(shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(shingles / BLOCK_SHINGLES).cast("int"))
 
 
-def _against_components(outside: DataFrame, found: DataFrame) -> DataFrame:
+def _against_components(outside: DataFrame, found: DataFrame, weights: DataFrame) -> DataFrame:
     """(group, doc_id, part, side): each outsider with all members of the component it met, block against block."""
-    met = outside.select("doc_id", "part", "top").distinct()
-    wanted = met.groupBy("top").agg(F.count(F.lit(1)).alias("xs"))
+    met = outside.select("doc_id", "part", "top", "w").distinct()
+    wanted = met.groupBy("top").agg(F.sum("w").alias("xs"))
     own = found.select(F.col("component").alias("top"), F.col("node").alias("doc_id")).unionByName(wanted.select("top", F.col("top").alias("doc_id"))).distinct()
-    own = stash(own.join(stash(wanted, "wanted"), "top"), "own")
-    sizes = stash(own.groupBy("top").agg(F.count(F.lit(1)).alias("m"), F.max("xs").alias("xs")), "sizes")
+    own = stash(own.join(stash(wanted, "wanted"), "top").join(weights, "doc_id"), "own")
+    sizes = stash(own.groupBy("top").agg(F.sum("w").alias("m"), F.max("xs").alias("xs")), "sizes")
     block, split = F.pmod(F.xxhash64("doc_id"), _blocks(F.col("m"))), F.pmod(F.xxhash64("doc_id"), _blocks(F.col("xs")))
 
     def every(n: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), _blocks(n) - 1))
 
-    inner = own.drop("xs").join(sizes, "top").select("top", "doc_id", F.col("top").alias("part"), F.lit(0).alias("side"), block.cast("int").alias("b"), every(F.col("xs")).alias("q"))
+    inner = own.drop("xs", "w").join(sizes, "top").select("top", "doc_id", F.col("top").alias("part"), F.lit(0).alias("side"), block.cast("int").alias("b"), every(F.col("xs")).alias("q"))
     outer = met.join(sizes, "top").select("top", "doc_id", "part", F.lit(1).alias("side"), every(F.col("m")).alias("b"), split.cast("int").alias("q"))
     return inner.unionByName(outer).select(F.xxhash64(F.lit("c"), "top", "b", "q").alias("group"), "doc_id", "part", "side")
 
 
 def _among_outsiders(outside: DataFrame) -> DataFrame:
     """(group, doc_id, part, side): the outsiders of each bucket with each other, block against block; equal sets of outsiders once."""
-    sums = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all"), F.min("part").alias("a"), F.max("part").alias("b"))
-    sums = sums.where("a < b").groupBy("n", "all").agg(F.min("bucket").alias("bucket"))
-    rows = outside.select("bucket", "doc_id", "part").join(stash(sums.select("bucket", "n"), "sums"), "bucket")
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "bucket"), _blocks(F.col("n"))).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), _blocks(F.col("n")) - 1)))
+    sums = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.bit_xor(F.xxhash64("doc_id")).alias("all"), F.min("part").alias("a"), F.max("part").alias("b"))
+    sums = sums.where("a < b").groupBy("n", "w", "all").agg(F.min("bucket").alias("bucket"))
+    blocks = stash(sums.select("bucket", _blocks(F.col("w")).alias("blocks")), "sums")
+    rows = outside.select("bucket", "doc_id", "part").join(blocks, "bucket")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
     return rows.select(F.xxhash64(F.lit("b"), "bucket", F.least("b", "o"), F.greatest("b", "o")).alias("group"), "doc_id", "part", side.alias("side"))
 
@@ -308,7 +316,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stash(sign(docs), "signed")
     usable = signed.where(F.col("h1").isNotNull() & F.col("doc_id").isNotNull())
     classes = stash(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stash(usable.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"]).select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"]), "reps")
+    reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"])
+    least = F.struct("h1", "h2", "xh")
+    reps = stash(reps.groupBy("doc_id").agg(*(F.min_by(c, least).alias(c) for c in ("xh", "n_shingles", "keys", "sketch"))), "reps")
 
     # Half keys that two documents share, and per document which of its own are.
     halves = reps.select("doc_id", F.posexplode("keys").alias("i", "key"))
@@ -328,7 +338,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = stash(sums.where("n > 1").groupBy("n", "x", "y", "all").agg(F.min("bucket").alias("bucket")), "buckets")
 
     # The texts of documents that may have a partner, written once: all checks on full sets read these only.
-    held = stash(docs.join(holders.select("doc_id").hint("merge"), "doc_id", "left_semi"), "held")
+    named = docs.withColumn("xh", F.xxhash64("text")).join(holders.select("doc_id", "xh").hint("merge"), ["doc_id", "xh"], "left_semi")
+    held = stash(named.dropDuplicates(["doc_id", "xh"]).drop("xh"), "held")
 
     wide = buckets.where("n > 2").select("bucket", "n")
     members = stash(tensor.join(wide, "bucket").select("bucket", "n", "doc_id"), "members")
@@ -347,8 +358,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shares = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("c", "part")).alias("top"), F.max("n").alias("n")).where("top.c < n")
     mixed = stash(mixed.select("bucket", F.col("top.part").alias("top")), "mixed")
-    outside = stash(placed.join(mixed, "bucket").where("part != top").select("bucket", "top", "doc_id", "part"), "outside")
-    rows = _against_components(outside, found).unionByName(_among_outsiders(outside))
+    weights = reps.select("doc_id", F.col("n_shingles").alias("w"))
+    outside = stash(placed.join(mixed, "bucket").where("part != top").join(weights, "doc_id").select("bucket", "top", "doc_id", "part", "w"), "outside")
+    rows = _against_components(outside, found, weights).unionByName(_among_outsiders(outside))
     texts = stash(rows, "late").join(held.hint("merge"), "doc_id")
     more = stash(by_group(texts, "group", ["doc_id", "part", "side", "text"], _linked, "x long, y long").distinct(), "more")
     final = found if more.isEmpty() else stash(components(links.unionByName(more), "x", "y"), "final")

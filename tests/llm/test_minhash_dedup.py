@@ -66,6 +66,21 @@ def test_components_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    rows = corpus(random.Random(9))
+    monkeypatch.setattr(D, "BLOCK", 16)
+    monkeypatch.setattr(D, "BLOCK_SHINGLES", 1500)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, None), (4, None)]
+    runs = {tuple(sorted(map(str, D.near_duplicates(spark.createDataFrame(r, "doc_id long, text string")).collect()))) for r in (rows, rows[::-1])}
+    assert len(runs) == 1 and len(next(iter(runs))) == 6
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (2, "A b\tc")], "doc_id long, text string")
     rows = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in D.near_duplicates(docs).collect()))
