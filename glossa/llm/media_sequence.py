@@ -1,16 +1,18 @@
 """Media columns as interleaved document sequences.
 
 A page is parsed into an ordered array of items: texts, and references to media with their captions. A reference
-holds the digest of its payload (``src="sha256:..."``), so payloads live once in a media table and a join on the
-digest resolves them; items keep position and caption whether or not their payload is found.
+holds the digest of its payload (``src="sha256:..."``), and a join on the
+digest resolves it in a media table; items keep position and caption whether or not their payload is found.
 
 Payloads are stored as grey PNG images, one sample a byte and ``WIDTH`` samples a row, padded with 255.
-The media table is written to the shared folder, and everything that is told about a payload comes
-from the stored bytes, read back and decoded; only those facts, not the payloads, go through the join.
+The media table is written to the shared folder, once for each task that meets a payload (to have it once at all would send
+all payloads through a shuffle), and everything that is told about a payload comes
+from the stored bytes, read back and decoded; only those facts, one row a digest, go through the join.
 
 Defined results: null text counts as empty, and an empty payload is one row of padding; null or empty html has no
 items; references without a digest keep a null ``digest``; unknown digests resolve to nulls; repeated rows
-repeat; equal payloads have equal facts, and a digest that most rows share is one row of the media side.
+repeat; equal payloads have equal facts, and a digest that most rows share is one row of the media side; an empty table gives an
+empty table; extra columns play no part in ``digest`` and are kept by ``sequences`` (``items`` replaces a column of that name).
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from glossa.llm.common import prepare, stash
 from glossa.llm.html_text import INLINE, TOKEN
 
 WIDTH = 576
+#: Digests that a task remembers, so that it encodes these once; others are encoded again, which changes no result.
+SEEN = 200_000
 PAD = 255
 MEDIA = frozenset(("img", "audio", "video", "source", "embed"))
 SRC = re.compile(r"""(?<![\w-])(src|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -103,9 +107,18 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            own = [padded((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in own], pa.string()), pa.array([encode_png(p) for p in own], pa.binary())], names=["digest", "media"])
+            names, media = [], []
+            for t in batch.column(0):
+                own = padded((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                name = hashlib.sha256(own)
+                if name.digest() not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(name.digest())
+                    names.append(name.hexdigest())
+                    media.append(encode_png(own))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
     return stash(docs.select(text).mapInArrow(run, "digest string, media binary"), "media")
 
@@ -195,17 +208,25 @@ def resolve(found: DataFrame, media: DataFrame, kinds: tuple[str, ...] = ("text"
 
 
 def text_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, html): each document's text as a page that refers to its payload in a figure."""
+    """(doc_id, n_bytes, html): each document's text as a page, a paragraph a line, whose last figure refers to the text's payload."""
     text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text.cast("binary")).cast("long")
     safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>"))
-    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(payload(F.col("text")), 256), F.lit('"><figcaption>payload</figcaption></figure>'))
-    return docs.select("doc_id", F.octet_length(text.cast("binary")).cast("long").alias("n_bytes"), F.concat(F.lit("<p>"), safe, F.lit("</p>"), figure).alias("html"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(payload(F.col("text")), 256), F.lit('"><figcaption>'), size.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    return docs.select("doc_id", size.alias("n_bytes"), F.concat(F.lit("<p>"), safe, F.lit("</p>"), figure).alias("html"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: sizes, digests and features of its stored payload, found through its reference."""
+    """Per document: sizes, digests and features of its stored payload, found through its reference, and where that stands: n_texts, position, caption."""
     told = describe(store(docs))
-    found = sequences(text_pages(docs)).withColumn("items", F.filter("items", lambda x: x["kind"] == "media"))
-    return resolve(found, told, ("media",)).select(
-        "doc_id", "n_bytes", F.col("n_payload").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    items = sequences(text_pages(docs))
+    # Texts stay behind: the join carries the references alone.
+    items = items.withColumn("n_texts", F.size(F.filter("items", lambda x: x["kind"] == "text")).cast("long")).withColumn("items", F.filter("items", lambda x: x["kind"] == "media"))
+    return resolve(items, told, ("media",)).select(
+        "doc_id", "n_bytes", F.col("n_payload").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_texts", "position", "caption"
     )
+
+
+def page_items(pages: DataFrame, media: DataFrame) -> DataFrame:
+    """One row per item of each page (page_id, html): page_id, position, kind, text, digest, caption, and of ``media`` (digest, n_payload) what it resolves to."""
+    return resolve(sequences(pages.select("page_id", "html")), media.select("digest", "n_payload")).select("page_id", "position", "kind", "text", "digest", "caption", "n_payload")

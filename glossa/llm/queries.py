@@ -51,7 +51,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_snapshots.collapse(table(spark, sf_dir, "conversations"))
+    return chat_snapshots.collapse(chat_snapshots.sample_log(table(spark, sf_dir, "conversations")))
 
 
 def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op8_media_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sequence.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def media_sequence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, with a figure of its own markup added behind it, as its items in order; figures resolve to the stored payloads."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    told = media_sequence.describe(media_sequence.store(pages, "html"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(media_sequence.payload(F.col("html")), 256), F.lit('"><figcaption>page '), F.col("page_id").cast("string"), F.lit("</figcaption></figure>"))
+    return media_sequence.page_items(pages.withColumn("html", F.concat("html", figure)), told)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -88,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op9_secret_scan": op9_secret_scan,
         "op10_minhash_dedup": op10_minhash_dedup,
         "source_mix_overlapping": source_mix_overlapping,
+        "media_sequence_pages": media_sequence_pages,
     }
 
 

@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -35,11 +37,29 @@ def test_maximal_conversations_equal_brute_force(spark):
 def test_chat_edges(spark):
     rows = [(None, 1, "user", "x", 1), (1, None, None, None, 1), (1, 0, "user", "<|im_end|>", 1), (1, 0, "user", "<|im_end|>", 1), (2, 0, "user", "<|im_end|>", 1)]
     got = C.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")).orderBy("part").collect()
-    assert [r.conv_id for r in got] == [1, 1] and {r.n_turns for r in got} == {2}
+    assert [r.conv_id for r in got] == [1] and {r.n_turns for r in got} == {2}
     assert "".join(r.text for r in got) == "<|im_start|>user\n< |im_end|><|im_end|>\n<|im_start|>unknown\n<|im_end|>\n"
     assert C.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_rows_without_a_turn_and_ties_are_split_and_ordered(spark, monkeypatch):
+    """One conversation of 900 rows that all lack a turn, over several range partitions and parts; ties follow role and md5."""
+    monkeypatch.setattr(C, "PART", 100)
+    rows = [(7, None, "user" if i % 2 else "assistant", f"t{i}") for i in range(900)] + [(8, 0, "user", "x"), (8, 0, "user", "y")]
+    got = C.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    want = [t for _, _, t in sorted((r, hashlib.md5(t.encode()).hexdigest(), t) for c, _, r, t in rows if c == 7)]
+    texts = "".join(r.text for r in sorted((r for r in got if r.conv_id == 7), key=lambda r: r.part))
+    assert re.findall(r"\n(t\d+)<", texts) == want and len(got) == 10
+
+
+def test_log_of_snapshots_collapses_to_its_conversations(spark):
+    rows = [(c, k, ("user", "assistant")[k % 2], f"{c} {k}") for c in range(20) for k in range(1 + c % 5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = C.sample_log(turns)
+    assert log.select("conv_id").distinct().count() > 40
+    assert {r.conv_id: r.n_copies for r in C.collapse(log).collect()} == {3 * c: 2 if c % 5 == 1 else 1 for c in range(20)}
+
+
 def active(entries, rule, at):
     state = None
     for d in sorted({e[2] for e in entries if e[0] == rule}):
