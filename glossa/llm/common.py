@@ -9,17 +9,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python. Texts have no length limit, so a batch
-#: holds few rows: 256 texts of 1 MB still fit a Python worker.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch that goes to Python. Texts have no length limit, so bytes bind: a batch ends with the row that reaches them.
+ARROW_ROWS, ARROW_BYTES = 2048, 8 << 20
 
 #: The white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session. All operators set the same, so plans that run later aren't changed by another operator."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder stands in.
+    Where that is unset, a temporary folder stands in on a single machine; on a cluster, whose
+    machines don't share one, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = os.environ.get("GLOSSA_SHARED_DIR") or os.path.join(tempfile.gettempdir(), "glossa-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = os.path.join(tempfile.gettempdir(), "glossa-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 

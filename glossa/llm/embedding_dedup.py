@@ -206,7 +206,7 @@ def _audit(nodes: DataFrame, linked: DataFrame, start: int, least: float) -> Dat
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    prepare(vectors.sparkSession, 2048)
+    prepare(vectors.sparkSession)
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.coalesce(some, F.lit(False))
