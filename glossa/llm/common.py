@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch that goes to Python. Texts have no length limit, so bytes bind: a batch ends with the row that reaches them.
-ARROW_ROWS, ARROW_BYTES = 2048, 8 << 20
+#: Operators take up to fifty times the bytes in arrays.
+ARROW_ROWS, ARROW_BYTES = 2048, 1 << 20
 
 #: The white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"

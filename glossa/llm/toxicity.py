@@ -53,7 +53,7 @@ FOLDS = 3
 TOXIC_SIZE, ORDINARY_SIZE, SEGMENT = 100_000, 34_000, 16
 #: An entry stays if this share of the other folds' toxic texts has it (three or four of them at least), so many times the share of ordinary ones.
 SHARE, TIMES = 0.008, 12.0
-CACHE = 100_000
+CACHE = 50_000
 _TAIL = b"\xff" * 16  # zstd doesn't index the last bytes of a dictionary
 
 
