@@ -43,7 +43,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 WINDOW = 8
 #: Letters of the beginnings of a word that have a code, and bytes of a code.
 SHORTEST, LONGEST = 3, 10
-CODE = 8
+CODE, CODE_OF = 8, xxhash.xxh3_64_digest
 #: Bytes that the toxic dictionary must save for a hit: the one of these under which the curve fits best.
 GAINS = (4, 6, 10, 14)
 #: Labelled texts of a class that are learnt from.
@@ -53,21 +53,15 @@ FOLDS = 3
 TOXIC_SIZE, ORDINARY_SIZE, SEGMENT = 100_000, 34_000, 16
 #: An entry stays if this share of the other folds' toxic texts has it (three or four of them at least), so many times the share of ordinary ones.
 SHARE, TIMES = 0.008, 12.0
-CACHE = 50_000
+CACHE = 75_000
 _TAIL = b"\xff" * 16  # zstd doesn't index the last bytes of a dictionary
 
 
-def units(word: str) -> list[str]:
-    """The word between marks and its beginnings."""
-    return [f"^{word}$", *(f"^{word[:n]}" for n in range(SHORTEST, min(len(word), LONGEST) + 1))]
-
-
-def code(unit: str) -> bytes:
-    return xxhash.xxh3_64_digest(unit.encode("utf-8", "surrogatepass"))[:CODE]
-
-
 def spelt(word: str) -> bytes:
-    return b"".join(map(code, units(word)))
+    """The codes of a word and of its beginnings, the whole word first."""
+    wide = word.encode("utf-32-le", "surrogatepass")
+    ends = range(4 * SHORTEST, 4 * min(len(word), LONGEST) + 1, 4)
+    return b"".join([CODE_OF(wide, 1), *[CODE_OF(wide[:n]) for n in ends]])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -77,7 +71,7 @@ def words_of(text: str | None) -> list[str]:
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False,
-        window_log=19, hash_log=17, chain_log=17, search_log=1, min_match=7, strategy=zstandard.STRATEGY_FAST,
+        window_log=19, hash_log=17, chain_log=17, search_log=1, min_match=7, strategy=zstandard.STRATEGY_DFAST,
     )
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
