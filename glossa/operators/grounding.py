@@ -39,7 +39,7 @@ def ground_exact(terms: DataFrame, index: DataFrame, word: str = "word") -> Data
 
 
 def fuzzy_candidates(words: DataFrame, keys: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """(word key, label key) pairs that can reach the cutoff, by length band and rare-gram prefix.
+    """(word key, label key) pairs that can reach the cutoff, by the pieces that a few insertions and deletions leave whole.
 
     A ratio of c needs a common subsequence of c * (a + b) / 200 characters, so at most
     d = floor(a + b - c * (a + b) / 100) insertions and deletions. Each of these spoils one
@@ -49,8 +49,6 @@ def fuzzy_candidates(words: DataFrame, keys: DataFrame, cutoff: float = CUTOFF)
     """
     a = words.select(F.col("key").alias("word_key")).distinct().where("word_key != ''").withColumn("n", F.length("word_key"))
     b = keys.select(F.col("key").alias("label_key")).distinct().where("label_key != ''").withColumn("m", F.length("label_key"))
-    if cutoff >= 100:  # only equal strings have a ratio of 100
-        return a.join(b, F.col("word_key") == F.col("label_key")).select("word_key", "label_key")
     share = (100 - cutoff) / 100
     # The longest label that fits a word of n characters has n * (200 - c) / c characters.
     longest = F.floor(F.col("n") * (200 - cutoff) / cutoff)
@@ -60,8 +58,9 @@ def fuzzy_candidates(words: DataFrame, keys: DataFrame, cutoff: float = CUTOFF)
         F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int").alias("at"),
         (F.floor((i + 1) * F.col("n") / (F.col("d") + 1)) - F.floor(i * F.col("n") / (F.col("d") + 1))).cast("int").alias("size")))
     pieces = a.withColumn("p", F.explode(cut)).select("word_key", "n", "d", F.col("p.at").alias("at"), F.substring("word_key", F.col("p.at") + 1, F.col("p.size")).alias("piece"), F.col("p.size").alias("size"))
-    sizes = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda s: F.array(s))))
-    grams = b.withColumn("size", F.explode(sizes)).withColumn("at_label", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("size"))))
+    # Only the sizes that words have, a handful.
+    sizes = pieces.agg(F.collect_set("size").alias("sizes"))
+    grams = b.crossJoin(F.broadcast(sizes)).withColumn("size", F.explode("sizes")).where("size <= m").withColumn("at_label", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("size"))))
     grams = grams.select("label_key", "m", "size", "at_label", F.substring("label_key", F.col("at_label") + 1, F.col("size")).alias("piece"))
     used = pieces.select("piece").distinct()
     grams = grams.join(used, "piece", "left_semi")
@@ -75,10 +74,9 @@ def fuzzy_matches(words: DataFrame, index: DataFrame, cutoff: float = CUTOFF) ->
     Up to ``BROADCAST_ROWS`` labels go to the executors, where each word meets all that can reach the cutoff;
     low cutoffs leave pieces of a letter or two, by which the join would form nearly all pairs as rows.
     """
-    if cutoff < 100:
-        labels = [r.key for r in index.select("key").where("key != ''").distinct().limit(BROADCAST_ROWS + 1).collect()]
-        if len(labels) <= BROADCAST_ROWS:
-            return _matched(words, labels, cutoff)
+    labels = [r.key for r in index.select("key").where("key != ''").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    if len(labels) <= BROADCAST_ROWS:
+        return _matched(words, labels, cutoff)
     pairs = fuzzy_candidates(words, index, cutoff)
     return pairs.withColumn("score", indel_ratio(F.col("word_key"), F.col("label_key"))).where(F.col("score") >= cutoff)
 

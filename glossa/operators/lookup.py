@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from glossa.functions.text import norm_key
 from glossa.operators.grounding import best_matches, fuzzy_matches
+from glossa.operators.ontology import by_name
 
 THRESHOLD, TOP, LIMIT = 0.55, 5, 8
 FLOOR = 0.85
@@ -114,3 +115,60 @@ def validate_choice(chosen: DataFrame, merged: DataFrame) -> DataFrame:
     real = merged.select("term", "id", F.lit(True).alias("real"))
     rows = chosen.join(real, ["term", "id"], "left").join(top, "term", "left")
     return rows.select("term", F.when(F.col("real"), F.col("id")).otherwise(F.col("top")).alias("id"), F.coalesce("real", F.lit(False)).alias("accepted"))
+
+
+def lookup(terms: DataFrame, concepts: DataFrame, index: DataFrame, near: DataFrame, cutoff: float = 90, meanings: DataFrame | None = None) -> DataFrame:
+    """(term, lang, source, confidence, id): the whole service in one plan; each stage takes what those before it left.
+
+    A number is a code (100); French terms go to the labels, English ones to the names: exact (100), then fuzzy (its ratio); what is
+    left to the best of ``meanings`` (term, id, sim), per cent; then ``none``. Blank terms are ``blank``. Terms of neither language try labels, then names.
+    """
+    own = terms.select("term", "lang").distinct().withColumn("key", norm_key(F.col("term")))
+    codes = concepts.select(F.col("id").alias("key"), F.col("id").alias("code_id"))
+    names = by_name(concepts).select("key", F.col("concept.id").alias("name_id"))
+    labels = index.select("key", F.col("concept.id").alias("label_id"), "is_ambiguous")
+    found = own.join(codes, "key", "left").join(labels, "key", "left").join(names, "key", "left")
+    french, english = F.col("lang") != "en", F.col("lang") != "fr"
+    exact = F.coalesce(F.when(french, F.col("label_id")), F.when(english, F.col("name_id")))
+    found = found.withColumn("exact_id", exact).withColumn("code_id", F.when(F.col("key").rlike("^[0-9]+$"), F.col("code_id")))
+    rest = found.where("code_id is null and exact_id is null and key <> ''").select("key", "lang")
+    english_names = by_name(concepts).select("key", "concept")
+    stages = []
+    for side, keys in ((rest.where(french), near.select("key", "concept")), (rest.where("lang = 'en'"), english_names)):
+        best = best_matches(fuzzy_matches(side.select("key").distinct(), keys, cutoff)).select(F.col("word_key").alias("key"), "label_key", "score")
+        best = best.join(keys.select(F.col("key").alias("label_key"), F.col("concept.id").alias("near_id")), "label_key")
+        stages.append(side.join(best, "key").select("key", "lang", "near_id", F.col("score").alias("near_score")))
+    found = found.join(stages[0].unionByName(stages[1]), ["key", "lang"], "left")
+    if meanings is None:
+        found = found.withColumn("mean_id", F.lit(None).cast("string")).withColumn("sim", F.lit(None).cast("double"))
+    else:
+        found = found.join(meanings.groupBy("term").agg(F.max_by("id", F.struct("sim", "id")).alias("mean_id"), F.max("sim").alias("sim")), "term", "left")
+    ways = (("code", "code_id", F.lit(100.0)), ("exact", "exact_id", F.lit(100.0)), ("fuzzy", "near_id", F.col("near_score")), ("semantic", "mean_id", 100 * F.col("sim")))
+    source, score = F.when(F.col("key") == "", "blank"), F.when(F.col("key") == "", 0.0)
+    for name, column, value in ways:
+        source, score = source.when(F.col(column).isNotNull(), name), score.when(F.col(column).isNotNull(), value)
+    named = F.when((F.col("exact_id") == F.col("label_id")) & F.col("is_ambiguous") & F.col("code_id").isNull(), "ambiguous")
+    return found.select("term", "lang", F.coalesce(named, source.otherwise("none")).alias("source"), score.otherwise(0.0).alias("confidence"), F.coalesce(*(c for _, c, _ in ways)).alias("id"))
+
+
+def collect_candidates(terms: DataFrame, concepts: DataFrame, limit: int = LIMIT, near: DataFrame | None = None, cutoff: float = 75, meanings: DataFrame | None = None) -> DataFrame:
+    """Candidates of each term, merged: all concepts under its label (100), labels of ``near`` from the cutoff on, ``meanings`` (term, id, sim)
+    only for terms without a label, and labels that contain the term only where nothing else is found."""
+    own = terms.select("term").distinct().withColumn("key", norm_key(F.col("term"), wide=False)).where("key <> ''")
+    under = concepts.where(F.col("fr_label").isNotNull()).select(norm_key(F.col("fr_label"), wide=False).alias("key"), "id", "level").distinct()
+    many = under.groupBy("key").agg(F.when(F.countDistinct("id") > 1, "ambiguous").otherwise("exact").alias("source"))
+    label = own.join(under, "key").join(many, "key").select("term", "id", "source", F.lit(100.0).alias("score"), F.concat(F.lit("0"), F.col("level").cast("string"), F.col("id")).alias("arrival"))
+    found = label
+    if near is not None:
+        pairs = fuzzy_matches(own.select("key"), near, cutoff).select(F.col("word_key").alias("key"), F.col("label_key"), "score")
+        pairs = pairs.join(near.select(F.col("key").alias("label_key"), F.col("concept.id").alias("id")), "label_key")
+        found = found.unionByName(own.join(pairs, "key").select("term", "id", F.lit("fuzzy").alias("source"), "score", F.concat(F.lit("1"), F.col("id")).alias("arrival")))
+    if meanings is not None:
+        left = meanings.join(label.select("term").distinct(), "term", "left_anti")
+        found = found.unionByName(left.select("term", "id", F.lit("semantic").alias("source"), (100 * F.col("sim")).alias("score"), F.concat(F.lit("2"), F.col("id")).alias("arrival")))
+    none = own.join(found.select("term").distinct(), "term", "left_anti").select("term")
+    within = substring_candidates(none, concepts, "fr_label", limit=limit)
+    found = found.unionByName(within.select("term", "id", F.lit("substring").alias("source"), "score", F.concat(F.lit("3"), F.col("id")).alias("arrival")))
+    best = found.groupBy("term", "id").agg(F.min_by(F.struct("score", "source", "arrival"), F.struct(-F.col("score"), "arrival")).alias("b")).select("term", "id", "b.*")
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "arrival"))
+    return best.withColumn("rank", place).where(F.col("rank") <= limit).select("term", "id", "source", "score", "rank")

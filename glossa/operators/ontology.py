@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossa.functions.text import strip
+from glossa.functions.text import norm_key, strip
 
 RANKS = {"SOC": 1, "HLGT": 2, "HLT": 3, "PT": 4, "LLT": 5}  # fixed values
 NEIGHBOURS = 16
@@ -175,3 +175,50 @@ def corpus_texts(concepts: DataFrame, lang: str) -> DataFrame:
     own = concepts.where(F.col("tier").isin("PT", "LLT") & F.col("id").rlike("^[0-9]+$"))
     text = F.concat_ws(" | ", F.nullif(strip(F.col("fr_label")), F.lit("")), "name") if lang == "fr" else F.col("name")
     return own.select("id", text.alias("text"))
+
+
+def primary_rows(rows: DataFrame) -> DataFrame:
+    """Parsed hierarchy rows of the primary branch (flag Y in any case) that name a term of the fourth tier."""
+    return rows.where((F.upper(strip(F.col("primary"))) == "Y") & (strip(F.col("pt_name")) != ""))
+
+
+def update_labels(concepts: DataFrame, *level_tables: DataFrame) -> DataFrame:
+    """Sets fr_label from tables (code, label, line) of the tiers, broadest first; of equal codes the last table's last line wins."""
+    tables = [t.select("code", "label", F.lit(i).alias("file"), "line") for i, t in enumerate(level_tables)]
+    last = reduce(DataFrame.unionByName, tables).where(strip(F.col("label")) != "").groupBy("code").agg(F.max_by("label", F.struct("file", "line")).alias("new"))
+    return concepts.join(last.withColumnRenamed("code", "id"), "id", "left").withColumn("fr_label", F.coalesce("new", "fr_label")).drop("new")
+
+
+def by_code_or_name(terms: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(term, concept): the concept whose code the term is, else the one that its name stands for."""
+    own = terms.select("term").distinct().withColumn("key", F.lower(strip(F.col("term"))))
+    codes = concepts.select(F.lower("id").alias("key"), F.struct("id", "name", "level", "tier").alias("by_code"))
+    names = by_name(concepts).select("key", F.col("concept").alias("by_name"))
+    return own.join(codes, "key", "left").join(names, "key", "left").select("term", F.coalesce("by_code", "by_name").alias("concept")).where("concept is not null")
+
+
+def neighbourhood(edges: DataFrame, concepts: DataFrame, cap: int = NEIGHBOURS) -> DataFrame:
+    """(id, n_parents, n_children, parents, children): the numbers, and the first ``cap`` names of each kind.
+
+    Counted and cut before names are gathered, so a concept of many children is no wide row.
+    """
+    rows = relatives(edges.distinct(), concepts)
+    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("name", "other"))
+    rows = rows.withColumn("place", place)
+    kinds = {"parents": F.col("kind") == "parent", "children": F.col("kind") == "child"}
+    counts = [F.count(F.when(is_kind, 1)).alias(f"n_{k}") for k, is_kind in kinds.items()]
+    shown = [F.transform(F.array_sort(F.collect_list(F.when(is_kind & (F.col("place") <= cap), F.struct("place", "name")))), lambda x: x["name"]).alias(k) for k, is_kind in kinds.items()]
+    return rows.groupBy("id").agg(*counts, *shown)
+
+
+def alternatives(concepts: DataFrame, label: str = "fr_label") -> DataFrame:
+    """(key, place, id, name, level): all concepts under each ambiguous key, by level, then id."""
+    rows = concepts.where(F.col(label).isNotNull()).select(norm_key(F.col(label), wide=False).alias("key"), "id", "name", "level").where("key <> ''").distinct()
+    many = rows.groupBy("key").agg(F.countDistinct("id").alias("n")).where("n > 1").select("key")
+    return rows.join(many, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("level", "id")))
+
+
+def populated(concepts: DataFrame, label: str = "fr_label") -> DataFrame:
+    """(concepts, labels, populated): one row."""
+    some = F.count(F.when(F.trim(F.col(label)) != "", 1))
+    return concepts.agg(F.count(F.lit(1)).alias("concepts"), some.alias("labels"), (some > 0).alias("populated"))

@@ -24,3 +24,41 @@ def cell(value: Column, digits: int = 2) -> Column:
 def markdown_rows(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     cells = [cell(F.col(c), digits) if df.schema[c].dataType.typeName() in ("double", "float") else F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def in_category_order(rows: DataFrame, order: tuple[str, ...], category: str = "category", term: str = "term") -> DataFrame:
+    """``rows`` with ``idx``, the place of their category in the order (unknown ones last), sorted by it and the term."""
+    places = F.array_position(F.array(*map(F.lit, order)), F.col(category))
+    return rows.withColumn("idx", F.when(places > 0, places - 1).otherwise(len(order)).cast("int")).orderBy("idx", term)
+
+
+def markdown_table(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+    """(pos, line): head, rule and rows of ``df`` in the order of its first column."""
+    spark = df.sparkSession
+    head = [(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))]
+    lines = markdown_rows(df.orderBy(columns[0]), columns, digits)
+    rows = lines.select((2 + F.monotonically_increasing_id()).alias("pos"), "line")
+    return spark.createDataFrame(head, "pos long, line string").unionByName(rows)
+
+
+#: Names of the systems in figures and tables.
+DISPLAY = {
+    "s1": "S1 NLLB",
+    "s2": "S2 Mistral (doc)",
+    "s3": "S3 GraphRAG",
+    "s4": "S4 rerank",
+    "s5": "S5 NLLB + boost",
+    "s5_mistral": "S5 Mistral + boost",
+    "s6": "S6 NLLB + glossary",
+    "s6_mistral": "S6 Mistral + glossary",
+}
+
+
+def display_label(label: Column) -> Column:
+    """A system's name for readers; unknown labels stay."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in DISPLAY.items() for x in p]), label), label)
+
+
+def condition_name(folder: Column) -> Column:
+    """The condition that a folder of results belongs to: its path within ``results/``."""
+    return F.regexp_replace(F.regexp_replace(F.trim(folder), "^/+|/+$", ""), "^results/", "")

@@ -87,3 +87,15 @@ def collapsed(df: DataFrame, column: str) -> DataFrame:
 def matrix(scores: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
     """Scores as a table with holes; the columns are given, so no pass is needed to find them."""
     return scores.groupBy(row).pivot(column, columns).agg(F.first(value))
+
+
+def first_known(df: DataFrame, by: str, value: str, position: str) -> DataFrame:
+    """(by, value): of each group the first value, by position, that is neither null nor NaN; null if there is none."""
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    return df.groupBy(by).agg(F.min_by(F.when(known, F.col(value)), F.when(known, F.col(position))).alias(value))
+
+
+def override(old: DataFrame, fresh: DataFrame, key: str, value: str) -> DataFrame:
+    """``old`` with values of ``fresh`` where it has one, and ``renewed``, whether it has."""
+    new = fresh.select(key, F.col(value).alias("_new"))
+    return old.join(new, key, "left").withColumn("renewed", F.col("_new").isNotNull()).withColumn(value, F.coalesce("_new", value)).drop("_new")

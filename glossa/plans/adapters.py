@@ -83,8 +83,11 @@ class Tables:
 
     def doc_pairs(self) -> DataFrame:
         """(id, lang, source, hyp, ref): a document against the next of its language and source."""
+        # Ids alone are sorted; texts join by id, which spreads evenly.
         ahead = Window.partitionBy("lang", "source").orderBy("doc_id")
-        return self.documents.select(F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("hyp"), F.lead("text").over(ahead).alias("ref")).where("ref is not null")
+        after = self.documents.select(F.col("doc_id").alias("id"), F.lead("doc_id").over(ahead).alias("next")).where("next is not null")
+        refs = after.join(self.documents.where("text is not null").select(F.col("doc_id").alias("next"), F.col("text").alias("ref")), "next").drop("next")
+        return self.documents.select(F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("hyp")).join(refs, "id")
 
     def turn_pairs(self) -> DataFrame:
         """(id, doc, ref, hyp): a user's turn and the assistant's that follows."""

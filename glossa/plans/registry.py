@@ -42,10 +42,13 @@ def grounded(t: Tables) -> DataFrame:
     "SELECT source, count(*) AS terms, count(id) AS grounded, round(count(id) / count(*), 6) AS ccr, count(*) FILTER (n_concepts > 1) AS ambiguous FROM grounded GROUP BY source"
 )
 def ccr_by_source(t: Tables) -> DataFrame:
-    g = grounded(t)
-    hit = F.col("concept").isNotNull()
+    """Words are counted per source before they meet the index, so a common word is one row and its texts are read once."""
+    counts = t.spans().groupBy("source", "word").agg(F.count(F.lit(1)).alias("c"))
+    index = grounding.label_index(t.concepts()).select("key", "is_ambiguous")
+    g = counts.join(index, T.norm_key(F.col("word"), wide=False) == F.col("key"), "left")
+    hits = F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("c"))), F.lit(0))
     return g.groupBy("source").agg(
-        F.count(F.lit(1)).alias("terms"), F.sum(hit.cast("long")).alias("grounded"), F.round(F.avg(hit.cast("double")), 6).alias("ccr"), F.count(F.when(F.col("is_ambiguous"), 1)).alias("ambiguous")
+        F.sum("c").alias("terms"), hits.alias("grounded"), F.round(hits / F.sum("c"), 6).alias("ccr"), F.coalesce(F.sum(F.when(F.col("is_ambiguous"), F.col("c"))), F.lit(0)).alias("ambiguous")
     )
 
 
@@ -83,40 +86,49 @@ def fuzzy_topk(t: Tables) -> DataFrame:
     return rows.withColumn("own", first).where("own = 1").select("word_key", "label_key", "id", "place", F.round("score", 6).alias("score"))
 
 
+#: The fuzzy stage at a cutoff of 90 as SQL: strings of a ratio of 90 have a common subsequence that either yields by few deletions, 2 of 11 characters at most.
+NEAREST = """, fz AS (SELECT DISTINCT replace(fr_label, 'ß', 'ss') AS key FROM concept WHERE fr_label IS NOT NULL AND tier IN ('PT', 'LLT')),
+wd AS (SELECT DISTINCT replace(word, 'ß', 'ss') AS key FROM span WHERE replace(word, 'ß', 'ss') NOT IN (SELECT key FROM label_index)),
+cut AS (SELECT key, 'word' AS side, key AS x, 0 AS k FROM wd UNION SELECT key, 'label', key, 0 FROM fz
+  UNION SELECT key, side, left(x, i - 1) || substr(x, i + 1), k + 1 FROM (SELECT *, unnest(range(1, length(x) + 1)) AS i FROM cut WHERE k < 2 * length(key) // 11)),
+near AS (SELECT w.key, l.key AS label, min(w.k + l.k) AS d, any_value(length(w.key) + length(l.key)) AS n FROM cut w JOIN cut l USING (x) WHERE w.side = 'word' AND l.side = 'label' GROUP BY ALL),
+hit AS (SELECT DISTINCT key FROM near WHERE 10 * d <= n)
+"""
+
+
 @query(
-    """, o AS (SELECT word AS term, count(*) AS freq FROM occurrence GROUP BY word)
-SELECT CASE WHEN x.n_concepts > 1 THEN 'AMBIGUOUS' WHEN x.id IS NULL THEN 'NOT_IN_GRAPH' ELSE 'EXACT_HIT' END AS category, count(*) AS terms, sum(freq)::BIGINT AS occurrences
-FROM o LEFT JOIN label_index x ON x.key = replace(o.term, 'ß', 'ss') GROUP BY 1"""
+    NEAREST + """, o AS (SELECT word AS term, replace(word, 'ß', 'ss') AS key, count(*) AS freq FROM occurrence GROUP BY word)
+SELECT CASE WHEN x.n_concepts > 1 THEN 'AMBIGUOUS' WHEN x.id IS NOT NULL THEN 'EXACT_HIT' WHEN hit.key IS NOT NULL THEN 'FUZZY_HIT' ELSE 'NOT_IN_GRAPH' END AS category, count(*) AS terms, sum(freq)::BIGINT AS occurrences
+FROM o LEFT JOIN label_index x ON x.key = o.key LEFT JOIN hit ON hit.key = o.key GROUP BY 1""",
+    recursive=True,
 )
 def ccr_diagnostic(t: Tables) -> DataFrame:
-    """The exact stage alone, which SQL can follow: at a cutoff of 100 no hit is fuzzy. The whole is ``ccr_diagnostic_fuzzy``."""
-    found = grounding.diagnose(t.occurrences(), grounding.label_index(t.concepts()), cutoff=100)
-    return found.groupBy("category").agg(F.count(F.lit(1)).alias("terms"), F.sum("freq").alias("occurrences"))
-
-
-@query()
-def ccr_diagnostic_fuzzy(t: Tables) -> DataFrame:
-    """All document words at the default cutoff; tested against brute force."""
+    """All document words; exact, then fuzzy at the default cutoff."""
     found = grounding.diagnose(t.occurrences(), grounding.label_index(t.concepts()), near=grounding.fuzzy_index(t.concepts()))
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("terms"), F.sum("freq").alias("occurrences"))
 
 
-@query(", p AS (SELECT id, fr_label AS label FROM concept WHERE level = 4 AND fr_label IS NOT NULL), q AS (SELECT DISTINCT w AS term FROM vocab WHERE length(w) >= 5) SELECT term, count(*) AS hits, min(id) AS first FROM q JOIN p ON contains(p.label, q.term) GROUP BY term")
+@query(
+    """, p AS (SELECT id, replace(fr_label, 'ß', 'ss') AS label FROM concept WHERE tier IN ('PT', 'LLT') AND fr_label IS NOT NULL), q AS (SELECT DISTINCT word AS term, replace(word, 'ß', 'ss') AS key FROM span),
+g AS (SELECT DISTINCT id, label, substr(label, i, 3) AS gram FROM (SELECT id, label, unnest(range(1, length(label) - 1)) AS i FROM p))
+SELECT term, count(*) AS hits, min(id) AS first FROM q JOIN g ON g.gram = left(q.key, 3) AND contains(g.label, q.key) GROUP BY term"""
+)
 def substring_candidates(t: Tables) -> DataFrame:
-    """A part that SQL can follow: words of the benchmark and labels of parts. The whole is ``substring_candidates_documents``."""
-    words = t.vocab().where(F.length("w") >= 5).select(F.col("w").alias("term"))
-    hits = lookup.substring_candidates(words, t.concepts().where("level = 4"), "fr_label", 5, 1_000_000_000)
-    return hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first"))
-
-
-@query()
-def substring_candidates_documents(t: Tables) -> DataFrame:
-    """All document words and the labels of the two lowest tiers; tested against brute force."""
+    """All document words and the labels of the two lowest tiers."""
     words = t.spans().select(F.col("word").alias("term"))
     hits = lookup.substring_candidates(words, t.concepts().where(F.col("tier").isin(*grounding.FUZZY_TIERS)), "fr_label", limit=1_000_000_000)
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.min("id").alias("first"))
 
 
+@query(
+    """, p AS (SELECT id, replace(fr_label, 'ß', 'ss') AS label FROM concept WHERE tier IN ('PT', 'LLT') AND fr_label IS NOT NULL), q AS (SELECT DISTINCT w AS term FROM vocab),
+h AS (SELECT term, id, label, row_number() OVER (PARTITION BY term ORDER BY id) AS r FROM q JOIN p ON contains(p.label, q.term)) SELECT term, id, label, 100.0::DOUBLE AS score FROM h WHERE r <= 8"""
+)
+def substring_best(t: Tables) -> DataFrame:
+    """The first eight labels, by score and id, that contain each word of the benchmark."""
+    return lookup.substring_candidates(t.vocab().select(F.col("w").alias("term")), t.concepts().where(F.col("tier").isin(*grounding.FUZZY_TIERS)), "fr_label")
+
+
 # ---- scans and filters --------------------------------------------------------------------------------------------
 
 
@@ -313,10 +325,10 @@ def exact_en(t: Tables) -> DataFrame:
     return ontology.by_name(t.concepts()).select("key", "concept.id", "concept.level")
 
 
-@query("SELECT substr(parent, 1, 1) || '-' || substr(child, 1, 1) AS type, count(*) AS n FROM (SELECT DISTINCT * FROM edge) GROUP BY 1 ORDER BY n DESC LIMIT 10")
+@query("SELECT substr(parent, 1, 1) || '-' || substr(child, 1, 1) AS type, count(*) AS n FROM (SELECT DISTINCT * FROM edge) GROUP BY 1 ORDER BY n DESC, type LIMIT 10")
 def graph_stats(t: Tables) -> DataFrame:
     kinds = t.edges().distinct().groupBy(F.concat_ws("-", F.substring("parent", 1, 1), F.substring("child", 1, 1)).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    return kinds.orderBy(F.desc("n")).limit(10)
+    return kinds.orderBy(F.desc("n"), "type").limit(10)
 
 
 @query("SELECT id, CASE WHEN id LIKE '4______' THEN coalesce(fr_label || ' | ', '') || name ELSE coalesce(fr_label || ' | ', '') || name END AS text FROM concept WHERE tier IN ('PT', 'LLT')")
@@ -334,15 +346,16 @@ def gold_overlay(t: Tables) -> DataFrame:
 
 
 def scored(t: Tables) -> DataFrame:
-    """(id, source, word, grounded, level, found, found_level, score, ref_score): spans of a document against the next of its language and source.
+    """(id, source, word, c, grounded, level, found, found_level, score, ref_score): spans of a document against the next of its language and source.
 
-    A document's distinct words meet its two texts as one array, so texts are not repeated per word; occurrences unfold after the texts are gone.
+    A document's distinct words meet its two texts as one array, so texts are not repeated per word; ``c`` is how often a word occurs.
+    A rendering equal to the concept's name lies in its branch, so a name that stands for another level scores one half.
     """
-    index = grounding.label_index(t.concepts())
-    counts = t.occurrences().groupBy("id", "source", "word").agg(F.count(F.lit(1)).alias("c"))
-    g = grounding.ground_exact(counts, index).select("id", "source", "word", "c", F.col("concept.name").alias("name"), F.col("concept.level").alias("level"))
+    index = grounding.label_index(t.concepts()).select("key", F.col("concept.name").alias("name"), F.col("concept.level").alias("level"))
     names = ontology.by_name(t.concepts()).select(F.col("key").alias("name_key"), F.col("concept.level").alias("target"))
-    g = g.join(names, F.lower("name") == F.col("name_key"), "left").withColumn("key", T.norm_metric(F.col("name"), wide=False))
+    index = index.join(names, F.lower("name") == F.col("name_key"), "left").select(F.col("key").alias("word_key"), "name", "level", "target", T.norm_metric(F.col("name"), wide=False).alias("key"))
+    counts = t.occurrences().groupBy("id", "source", "word").agg(F.count(F.lit(1)).alias("c"))
+    g = counts.join(index, T.norm_key(F.col("word"), wide=False) == F.col("word_key"), "left")
     words = g.groupBy("id", "source").agg(F.collect_list(F.struct("word", "c", "name", "level", "target", "key")).alias("words"))
     pairs = t.doc_pairs().select("id", T.norm_metric(F.col("ref")).alias("text"), T.norm_metric(F.col("hyp")).alias("own"))
 
@@ -351,18 +364,16 @@ def scored(t: Tables) -> DataFrame:
         return F.struct(
             x["word"].alias("word"), x["c"].alias("c"), x["name"].isNotNull().alias("grounded"), x["level"].alias("level"), found.alias("found"),
             F.when(found.isNotNull(), x["target"]).alias("found_level"),
-            terminology.span_score(found, x["target"], x["level"], F.lit(False)).alias("score"),
-            terminology.span_score(own, x["target"], x["level"], F.lit(False)).alias("ref_score"),
+            *(terminology.span_score(f, x["target"], x["level"], F.lower(F.trim(f)) == F.lower(F.trim(x["name"]))).alias(n) for f, n in ((found, "score"), (own, "ref_score"))),
         )
 
-    rows = words.join(pairs, "id").select("id", "source", F.explode(F.transform("words", judged)).alias("x")).select("id", "source", "x.*")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))).drop("_n", "c")
+    return words.join(pairs, "id").select("id", "source", F.explode(F.transform("words", judged)).alias("x")).select("id", "source", "x.*")
 
 
 SCORED = r""", nm AS (SELECT lower(name) AS key, arg_min(level, (-level, id)) AS target FROM concept GROUP BY 1), dp AS (SELECT id, regexp_replace(lower(ref), '\s+', ' ', 'g') AS text, regexp_replace(lower(hyp), '\s+', ' ', 'g') AS own FROM doc_pair),
 ow AS (SELECT o.id, o.source, o.word, count(*) AS c FROM occurrence o GROUP BY ALL),
 sc AS (SELECT o.id, o.source, o.word, o.c, x.id IS NOT NULL AS grounded, x.level, CASE WHEN contains(dp.text, lower(x.name)) THEN x.name END AS found, CASE WHEN contains(dp.text, lower(x.name)) THEN nm.target END AS found_level,
-  CASE WHEN contains(dp.text, lower(x.name)) AND nm.target = x.level THEN 1.0 ELSE 0.0 END AS score, CASE WHEN contains(dp.own, lower(x.name)) AND nm.target = x.level THEN 1.0 ELSE 0.0 END AS ref_score
+  CASE WHEN contains(dp.text, lower(x.name)) THEN CASE WHEN nm.target = x.level THEN 1.0 ELSE 0.5 END ELSE 0.0 END AS score, CASE WHEN contains(dp.own, lower(x.name)) THEN CASE WHEN nm.target = x.level THEN 1.0 ELSE 0.5 END ELSE 0.0 END AS ref_score
   FROM ow o JOIN dp ON dp.id = o.id LEFT JOIN label_index x ON x.key = replace(o.word, 'ß', 'ss') LEFT JOIN nm ON nm.key = lower(x.name))
 """
 
@@ -631,46 +642,27 @@ def taxonomy(t: Tables) -> DataFrame:
 
 
 def vector_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The first vector of each label asks; all others answer. SQL follows this; ``all_vectors`` is the whole."""
+    """Every vector whose id is divisible by 50 asks; all vectors answer."""
     e = t.embeddings
-    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    asked = e.join(first, ["label", "vec_id"], "left_semi").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
-    rest = e.join(first, ["label", "vec_id"], "left_anti").select(F.col("vec_id").alias("item"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
-    return asked, rest
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
+    return asked, e.select(F.col("vec_id").alias("item"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
 
 
-SIM = """, fq AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), sim AS (SELECT q.vec_id AS query, c.vec_id AS item, c.label AS key, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim
-  FROM embeddings q JOIN fq USING (vec_id) JOIN embeddings c ON c.vec_id NOT IN (SELECT vec_id FROM fq))
+SIM = """, sim AS (SELECT q.vec_id AS query, c.vec_id AS item, c.label AS key, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 """
 
 
 @query(SIM + """, a AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS place FROM sim WHERE sim >= 0.255), b AS (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY place) AS own FROM a WHERE place <= 15),
  c AS (SELECT query, item, key, sim, row_number() OVER (PARTITION BY query ORDER BY place) AS rank FROM b WHERE own = 1) SELECT query, item, key, round(sim, 6) AS sim, rank FROM c WHERE rank <= 5""")
 def semantic_topk(t: Tables) -> DataFrame:
-    return lookup.semantic_top(*vector_sets(t), threshold=0.3).withColumn("sim", F.round("sim", 6))
+    """A query set that grows with the table; a vector does not find itself."""
+    return lookup.semantic_top(*vector_sets(t), threshold=0.3, itself=False).withColumn("sim", F.round("sim", 6))
 
 
 @query(SIM + "SELECT query, item, key, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS r FROM sim WHERE sim >= 0.2) WHERE r = 1")
 def semantic_best(t: Tables) -> DataFrame:
-    return lookup.semantic_best(*vector_sets(t), threshold=0.2).withColumn("sim", F.round("sim", 6))
-
-
-def all_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Every vector whose id is divisible by 50 asks; all vectors answer."""
-    e = t.embeddings
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
-    return asked, e.select(F.col("vec_id").alias("item"), F.col("label").alias("key"), F.col("embedding").alias("vector"))
-
-
-@query()
-def semantic_topk_all(t: Tables) -> DataFrame:
-    """``semantic_topk`` with a query set that grows with the table; a vector does not find itself."""
-    return lookup.semantic_top(*all_vectors(t), threshold=0.3, itself=False).withColumn("sim", F.round("sim", 6))
-
-
-@query()
-def semantic_best_all(t: Tables) -> DataFrame:
-    return lookup.semantic_best(*all_vectors(t), threshold=0.2, itself=False).withColumn("sim", F.round("sim", 6))
+    return lookup.semantic_best(*vector_sets(t), threshold=0.2, itself=False).withColumn("sim", F.round("sim", 6))
 
 
 @query(""", sc AS (SELECT label, vec_id, 0.5 * s - 0.2 * abs(p_size - 25) AS score FROM (SELECT label, vec_id, p_size, list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]) AS s FROM embeddings e JOIN part ON p_partkey = vec_id JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) f USING (label)))
@@ -683,27 +675,23 @@ def planning_locks(t: Tables) -> DataFrame:
     return planning.plan_locks(rows).withColumn("score", F.round("score", 6))
 
 
-@query(""", ch AS (SELECT label AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0), f AS (SELECT label AS key, arg_min(embedding::DOUBLE[], vec_id) AS v FROM embeddings WHERE vec_id % 2 = 1 GROUP BY label)
-SELECT ch.key, round(max(list_cosine_similarity(ch.v, f.v)), 6) AS sim, CASE WHEN max(list_cosine_similarity(ch.v, f.v)) < 0.3 THEN 0.0 ELSE 1.0 END AS score FROM ch JOIN f USING (key) GROUP BY ch.key""")
+@query(""", v AS (SELECT label, vec_id // 64 AS part, vec_id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT c.label, c.part, c.vec_id AS c, f.vec_id AS f, list_cosine_similarity(c.v, f.v) AS sim FROM v c JOIN v f USING (label, part) WHERE c.vec_id % 2 = 0 AND f.vec_id % 2 = 1)
+SELECT label, part, round(max(sim), 6) AS sim, (CASE WHEN max(sim) < 0.3 THEN 0.0 WHEN arg_min(f, (-sim, c, f)) % 4 = 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS score FROM pr GROUP BY label, part""")
 def htm_vector(t: Tables) -> DataFrame:
-    """Even vectors of a label as a span's chunks, its first odd one as the rendering."""
-    e = t.embeddings
-    chunks = e.where("vec_id % 2 = 0").select(F.col("label").alias("key"), F.col("embedding").alias("vector"), F.col("vec_id").alias("pos"))
-    odd = e.where("vec_id % 2 = 1").groupBy(F.col("label").alias("key")).agg(F.min_by("embedding", "vec_id").alias("vector"), F.min("vec_id").alias("pos"))
-    return terminology.vector_scores(chunks, odd.withColumn("align", F.lit(1.0)), 0.3).select("key", F.round("sim", 6).alias("sim"), "score")
+    """A span is a label within 64 ids: its even vectors are the chunks, its odd ones the renderings, of which every second one aligns by half."""
+    e = t.embeddings.select(F.struct("label", F.floor(F.col("vec_id") / 64).cast("long").alias("part")).alias("key"), F.col("embedding").alias("vector"), F.col("vec_id").alias("pos"))
+    aligned = e.where("pos % 2 = 1").withColumn("align", F.when(F.col("pos") % 4 == 1, 1.0).otherwise(0.5))
+    return terminology.vector_scores(e.where("pos % 2 = 0"), aligned, 0.3).select("key.label", "key.part", F.round("sim", 6).alias("sim"), "score")
 
 
-@query(", q AS (SELECT DISTINCT word AS term FROM span) SELECT CASE WHEN x.id IS NULL THEN 'none' ELSE 'exact' END AS match_kind, count(*) AS terms, sum(coalesce(n_concepts, 0))::BIGINT AS alternatives FROM q LEFT JOIN label_index x ON x.key = replace(q.term, 'ß', 'ss') GROUP BY 1")
+@query(
+    NEAREST + """, q AS (SELECT DISTINCT word AS term, replace(word, 'ß', 'ss') AS key FROM span)
+SELECT CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN hit.key IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS match_kind, count(*) AS terms, sum(coalesce(n_concepts, 0))::BIGINT AS alternatives
+FROM q LEFT JOIN label_index x ON x.key = q.key LEFT JOIN hit ON hit.key = q.key GROUP BY 1""",
+    recursive=True,
+)
 def lookup_cascade(t: Tables) -> DataFrame:
-    """With a cutoff of 100, as ``ccr_diagnostic``. The whole is ``lookup_cascade_fuzzy``."""
-    terms = t.spans().select(F.col("word").alias("term"))
-    found = lookup.cascade(terms, grounding.label_index(t.concepts()), 100)
-    return found.groupBy("match_kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_alternatives").alias("alternatives"))
-
-
-@query()
-def lookup_cascade_fuzzy(t: Tables) -> DataFrame:
-    """At the default cutoff, as ``ccr_diagnostic_fuzzy``."""
+    """All document words; exact, then fuzzy at the default cutoff."""
     terms = t.spans().select(F.col("word").alias("term"))
     found = lookup.cascade(terms, grounding.label_index(t.concepts()), near=grounding.fuzzy_index(t.concepts()))
     return found.groupBy("match_kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n_alternatives").alias("alternatives"))
@@ -753,8 +741,11 @@ def s4_rerank(t: Tables) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from glossa.plans import service  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)

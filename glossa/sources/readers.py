@@ -121,3 +121,25 @@ def count_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 def pending(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose id has no result yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def aligned(results: DataFrame, references: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(id, hyp, ref[, src]) of results whose id has a reference (and a source): the input of reference metrics, by id."""
+    key = F.col("id").cast("string").alias("id")
+    rows = results.select(key, "hyp").join(references.select(key, "ref"), "id")
+    return rows if sources is None else rows.join(sources.select(key, "src"), "id")
+
+
+def in_order(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of the listed ids (id, pos), with ``pos``; ids without a row are left out."""
+    return ids.select("id", "pos").join(rows, "id").orderBy("pos")
+
+
+def read_code_map(spark: SparkSession, path: str, value: int, numeric: bool = False) -> DataFrame:
+    """(code, value) of a delimited file without a head line: column 0 to column ``value``, the last line of a code wins."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    fields = F.split("value", r"[|$]")
+    rows = lines.select(strip(fields[0]).alias("code"), strip(F.try_element_at(fields, F.lit(value + 1))).alias("value"), F.struct("block", "line").alias("at"))
+    rows = rows.where(F.col("code").rlike("^[0-9]+$") & (F.col("value") != ""))
+    rows = rows.where(F.col("value").rlike("^[0-9]+$")) if numeric else rows
+    return rows.groupBy("code").agg(F.max_by("value", "at").alias("value"))

@@ -33,9 +33,10 @@ def write_graph(concepts: DataFrame, edges: DataFrame, path: str) -> None:
     edges.distinct().write.mode("overwrite").parquet(f"{path}/edges")
 
 
-def write_coverage(df: DataFrame, path: str) -> None:
-    """Finite values of known conditions, rounded to six places."""
+def write_coverage(df: DataFrame, path: str, conditions: list[str] | None = None) -> None:
+    """Finite values of known conditions (column ``label``; all without a list), rounded to six places."""
     v = F.col("ccr")
+    df = df if conditions is None else df.where(F.col("label").isin(conditions))
     df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).withColumn("ccr", F.round(v, 6)).write.mode("overwrite").json(path)
 
 
@@ -57,3 +58,9 @@ def refresh_texts(audit: DataFrame, segments: DataFrame, hyps: DataFrame) -> Dat
     joined = audit.join(own, "id", "left").join(hyps.select("id", F.col("hyp").alias("new_hyp")), "id", "left")
     new = {"fr": F.col("new_fr"), "en_ref": F.col("new_ref"), "hyp": F.coalesce("new_hyp", F.lit(""))}
     return joined.select(*[F.when(F.col("known"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in audit.columns])
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as CSV with a head line in a folder of its name (agreement, adjudication, overall figures)."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")

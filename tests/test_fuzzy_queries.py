@@ -74,9 +74,9 @@ def test_diagnosis_of_whole_documents_has_fuzzy_hits(spark, small):
         a, b = kinds.get(kind, (0, 0))
         kinds[kind] = a + 1, b + len(own or [])
     assert want["FUZZY_HIT"] == (2, 2)  # vendamos, solitair; maridunx and francee are near to upper tiers only
-    got = registry.queries()["ccr_diagnostic_fuzzy"](spark, small)
+    got = registry.queries()["ccr_diagnostic"](spark, small)
     assert {r.category: (r.terms, r.occurrences) for r in got.collect()} == want
-    got = registry.queries()["lookup_cascade_fuzzy"](spark, small)
+    got = registry.queries()["lookup_cascade"](spark, small)
     assert {r.match_kind: (r.terms, r.alternatives) for r in got.collect()} == kinds
 
 
@@ -101,5 +101,5 @@ def test_words_of_whole_documents_meet_leaf_labels(spark, small):
 def test_substrings_of_whole_documents(spark, small):
     held = {w: [i for x, own in labels().items() if w in x for level, i in own if level >= 4] for w in occurrences()}
     assert len(held["foxx"]) == 2  # a word of four letters, in a part's label and in a leaf's
-    got = {r.term: (r.hits, r.first) for r in registry.queries()["substring_candidates_documents"](spark, small).collect()}
+    got = {r.term: (r.hits, r.first) for r in registry.queries()["substring_candidates"](spark, small).collect()}
     assert got == {w: (len(ids), min(ids)) for w, ids in held.items() if ids}

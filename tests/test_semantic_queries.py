@@ -15,7 +15,7 @@ def test_queries_grow_with_the_table(spark, tmp_path):
     rows = [(i, rng.normal(size=8).tolist(), i % 3) for i in range(220)]
     rows[100] = (100, (np.array(rows[50][1]) * 2 + 0.01).tolist(), 1)  # queries find each other
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    best = {r["query"]: (r["item"], r["key"], r["sim"]) for r in registry.queries()["semantic_best_all"](spark, str(tmp_path)).collect()}
+    best = {r["query"]: (r["item"], r["key"], r["sim"]) for r in registry.queries()["semantic_best"](spark, str(tmp_path)).collect()}
     assert best == {q: (own[0][1], own[0][2], round(-own[0][0], 6)) for q, own in brute(rows, 0.2).items()}
     assert len(best) == 5 and best[50][0] == 100 and best[100][0] == 50
     want = set()
@@ -25,7 +25,7 @@ def test_queries_grow_with_the_table(spark, tmp_path):
             if k not in [x[1] for x in seen]:
                 seen.append((i, k, round(-s, 6)))
         want |= {(q, i, k, s, rank) for rank, (i, k, s) in enumerate(seen[:5], 1)}
-    assert {tuple(r) for r in registry.queries()["semantic_topk_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in registry.queries()["semantic_topk"](spark, str(tmp_path)).collect()} == want
 
 
 def test_more_than_ten_thousand_queries(spark):
