@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from glossa.llm.common import prepare
 
 #: Entries of the generation of a piece cache; at most two generations live.
-CACHE = 120_000
+CACHE = 180_000
 #: Bytes from which a table is an array, not a list: slower to make, a fifth of the memory.
 SHORT = 1024
+#: Marks that no rule of the pattern joins with letters.
+MARKS = frozenset(".,;:!?")
 WHITE_RUN = regex.compile(r"\s\s")
 
 
@@ -66,6 +68,18 @@ class Vocabulary:
             for byte in data[:-1]:
                 node = node.setdefault(byte, [{}, -1])[0]
             node.setdefault(data[-1], [{}, -1])[1] = rank
+        #: Where a walk stands after three bytes: the level there, the longest token so far, its size.
+        self.jump = self._jumps()
+        self.name_of = {rank: str(rank) for rank in self.bytes_of}
+
+    def _jumps(self) -> dict[bytes, tuple[dict, int, int]]:
+        out = {}
+        for a, (one, token) in self.root.items():
+            for b, (two, of_two) in one.items():
+                best = (of_two, 2) if of_two >= 0 else (token, 1)
+                for c, (three, of_three) in two.items():
+                    out[bytes((a, b, c))] = (three, *((of_three, 3) if of_three >= 0 else best))
+        return out
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none (below a rank) is left."""
@@ -141,11 +155,34 @@ class Vocabulary:
         Each prefix has one valid last token, so it is entered once at most and the walk ends after
         as many steps as there are prefixes, usually after one for each token. The table is also the way back.
         """
-        root, fits, pairs, size_of, longest = self.root, self.fits, self._pairs.get, self.size_of, self.longest
+        root, jump, fits, pairs, size_of, longest = self.root, self.jump.get, self.fits, self._pairs.get, self.size_of, self.longest
         size = len(data)
         last = [-1] * (size + 1) if size < SHORT else array("i", (-1,)) * (size + 1)
         begin = 0
         while begin < size:
+            before = last[begin]
+            known = jump(data[begin : begin + 3])
+            if known is not None:
+                # The longest token alone: it nearly always fits.
+                node, token, step = known
+                at = 3
+                for byte in data[begin + 3 : begin + longest]:
+                    hit = node.get(byte)
+                    if hit is None:
+                        break
+                    node, found = hit
+                    at += 1
+                    if found >= 0:
+                        token, step = found, at
+                if last[begin + step] < 0:
+                    if before >= 0:
+                        known = pairs(before << 32 | token)
+                        if known is None:
+                            known = fits(before, token)
+                    if known:
+                        begin += step
+                        last[begin] = token
+                        continue
             node, here = root, []
             for byte in data[begin : begin + longest]:
                 hit = node.get(byte)
@@ -153,23 +190,14 @@ class Vocabulary:
                     break
                 node = hit[0]
                 here.append(hit[1])
-            before = last[begin]
-            left = before << 32
             end = begin + len(here) + 1
             while here:
                 token = here.pop()
                 end -= 1
-                if token < 0 or last[end] >= 0:
-                    continue
-                if before >= 0:
-                    known = pairs(left | token)
-                    if known is None:
-                        known = fits(before, token)
-                    if not known:
-                        continue
-                last[end] = token
-                begin = end
-                break
+                if token >= 0 and last[end] < 0 and (before < 0 or fits(before, token)):
+                    last[end] = token
+                    begin = end
+                    break
             else:
                 if not begin:
                     raise ValueError("no encoding: the vocabulary has tokens that merging can't reach")
@@ -268,9 +296,12 @@ class Encoder:
                 data = b" " + chunk.encode("utf-8", "surrogatepass")
                 rank = self.vocabulary.ranks.get(data)
                 ids = (rank,) if rank is not None else tuple(self.vocabulary.encode(data))
+            elif self.words_whole and chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                # So is a word before one mark, which is the next match.
+                ids = self._chunk(chunk[:-1])[1] + self.piece(chunk[-1])
             else:
                 ids = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(" " + chunk))))
-            found = (" ".join(map(str, ids)), ids)
+            found = (" ".join(map(self.vocabulary.name_of.__getitem__, ids)), ids)
         if len(self._chunks) >= self.cache:
             self._old_chunks, self._chunks = self._chunks, {}
         self._chunks[chunk] = found
@@ -303,7 +334,7 @@ class Encoder:
                 data = p.encode("utf-8", "surrogatepass")
                 rank = self.vocabulary.ranks.get(data)
                 ids += (rank,) if rank is not None else self.vocabulary.encode(data)
-        return " ".join(map(str, ids)), tuple(ids)
+        return " ".join(map(self.vocabulary.name_of.__getitem__, ids)), tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for _, ids in self._parts(text)))

@@ -53,7 +53,7 @@ FOLDS = 3
 TOXIC_SIZE, ORDINARY_SIZE, SEGMENT = 100_000, 34_000, 16
 #: An entry stays if this share of the other folds' toxic texts has it (three or four of them at least), so many times the share of ordinary ones.
 SHARE, TIMES = 0.008, 12.0
-CACHE = 75_000
+CACHE = 60_000
 _TAIL = b"\xff" * 16  # zstd doesn't index the last bytes of a dictionary
 
 
@@ -95,17 +95,14 @@ class Model:
     constant: float | None = None
 
 
-class Scorer:
-    """Compares the compressed lengths of windows; the spelling of frequent words is kept."""
+class Spelling:
+    """The codes of words, kept for frequent ones; two generations of ``CACHE`` words at most."""
 
-    def __init__(self, model: Model):
-        # Both are as long, so what the ordinary dictionary holds lies equally far back.
-        self.ordinary = _compressor(model.ordinary + bytes(len(model.toxic)) + _TAIL)
-        self.both = _compressor(model.ordinary + model.toxic + _TAIL)
+    def __init__(self):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def spelt(self, word: str) -> bytes:
+    def add(self, word: str) -> bytes:
         found = self.old.get(word) or spelt(word)
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
@@ -113,12 +110,25 @@ class Scorer:
             self.young[word] = found
         return found
 
+
+#: One per Python worker: spelling depends on no model.
+_SPELLING = Spelling()
+
+
+class Scorer:
+    """Compares the compressed lengths of windows."""
+
+    def __init__(self, model: Model):
+        # Both are as long, so what the ordinary dictionary holds lies equally far back.
+        self.ordinary = _compressor(model.ordinary + bytes(len(model.toxic)) + _TAIL)
+        self.both = _compressor(model.ordinary + model.toxic + _TAIL)
+
     def gains(self, text: str | None) -> list[int]:
         """Bytes that the toxic dictionary saves, of each window."""
         words = words_of(text)
-        letters = list(map(self.young.get, words))
+        letters = list(map(_SPELLING.young.get, words))
         if None in letters:
-            letters = [self.spelt(w) if x is None else x for w, x in zip(words, letters)]
+            letters = [_SPELLING.add(w) if x is None else x for w, x in zip(words, letters)]
         join, one, two = b"".join, self.ordinary.compress, self.both.compress
         windows = [join(letters[i : i + WINDOW]) for i in range(0, len(letters), WINDOW)]
         return [len(one(w)) - len(two(w)) for w in windows]
