@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import byte_bpe, chat_snapshots, embedding_dedup, html_text, media_sequence, minhash_dedup, secret_scan, source_mix, toxicity, url_lists
+from glossa.llm import (
+    byte_bpe, chat_snapshots, collocations, embedding_dedup, html_text, lexical_search, media_sequence, minhash_dedup, secret_scan, source_mix, token_files, toxicity, url_lists,
+)
 from glossa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +85,19 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = tokenizer_file("byte_bpe_50k.json")
+    return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), path))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mix": op1_source_mix,
@@ -95,10 +110,13 @@ def queries() -> dict[str, Query]:
         "op8_media_sequence": op8_media_sequence,
         "op9_secret_scan": op9_secret_scan,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_token_files": op13_token_files,
         "source_mix_overlapping": source_mix_overlapping,
         "media_sequence_pages": media_sequence_pages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_snapshots": chat_snapshots.ORACLE_SQL, "op6_url_lists": url_lists.ORACLE_SQL}
+    return {"op5_chat_snapshots": chat_snapshots.ORACLE_SQL, "op6_url_lists": url_lists.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL}
