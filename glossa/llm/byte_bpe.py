@@ -4,7 +4,8 @@ A sequence of tokens is what merging by rank gives if and only if each adjacent
 (given a vocabulary where each token is reachable). So each byte prefix of a piece has exactly one
 last token that continues the encoding of the rest, and ``last[i]`` of all prefixes is enough to encode
 any prefix, to append bytes exactly and to encode again near an edit (``Prefixes``). Whole texts are encoded with the same table,
-filled only where a walk from the longest tokens on needs it (``Vocabulary.on_demand``).
+filled only where a walk from the longest tokens on needs it (``Vocabulary.on_demand``). A column of texts is cut at places where a match of the
+pattern always begins, each distinct chunk is encoded once, and ids, their names and their bytes are gathered as arrays.
 
 Defined results: null counts as the empty text, which has no tokens and the digest of the
 empty string; repeated rows repeat; texts and single pieces of any length are encoded whole, in time and memory
@@ -19,19 +20,22 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from glossa.llm import textcuts
 from glossa.llm.common import prepare
 
 #: Entries of the generation of a piece cache; at most two generations live.
-CACHE = 180_000
+CACHE = 250_000
 #: Bytes from which a table is an array, not a list: slower to make, a fifth of the memory.
 SHORT = 1024
 #: Marks that no rule of the pattern joins with letters.
 MARKS = frozenset(".,;:!?")
-WHITE_RUN = regex.compile(r"\s\s")
+#: A split pattern whose matches have a space only as their first character or among white space, so that texts may be cut at spaces; others are taken whole.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,7 +74,6 @@ class Vocabulary:
             node.setdefault(data[-1], [{}, -1])[1] = rank
         #: Where a walk stands after three bytes: the level there, the longest token so far, its size.
         self.jump = self._jumps()
-        self.name_of = {rank: str(rank) for rank in self.bytes_of}
 
     def _jumps(self) -> dict[bytes, tuple[dict, int, int]]:
         out = {}
@@ -265,84 +268,56 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
-        self.words_whole = r" ?\p{L}+|" in pattern
+        self.words_whole = pattern == CUTTABLE
         self.cache = cache
         self._young: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
-        self._chunks: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self._old_chunks: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.chunks = textcuts.ChunkIds(lambda chunks: [array("i", self._chunk(c)).tobytes() for c in chunks], "i4", cache)
+        names = [b""] * (max(self.vocabulary.bytes_of) + 1)
+        tokens = list(names)
+        for rank, data in self.vocabulary.bytes_of.items():
+            names[rank], tokens[rank] = b"%d " % rank, data
+        #: The decimal name with a space, and the bytes, of each id.
+        self.names, self.tokens = pa.array(names, pa.large_binary()), pa.array(tokens, pa.large_binary())
 
     def piece(self, piece: str) -> tuple[int, ...]:
         found = self._young.get(piece)
         if found is None:
             found = self._old.get(piece)
             if found is None:
-                data = piece.encode("utf-8", "surrogatepass")
-                rank = self.vocabulary.ranks.get(data)
-                found = (rank,) if rank is not None else tuple(self.vocabulary.encode(data))
+                found = self._new(piece)
             if len(self._young) >= self.cache:
                 self._old, self._young = self._young, {}
             self._young[piece] = found
         return found
 
-    def _chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        """A chunk that stands behind a space: its ids with that space."""
-        if len(chunk) > 63:
-            return self._long(" " + chunk)
-        found = self._chunks.get(chunk) or self._old_chunks.get(chunk)
-        if found is None:
-            # Letters alone are one match of the pattern's rule for words, so they need neither the split nor a second place in a cache.
-            if self.words_whole and chunk.isalpha():
-                data = b" " + chunk.encode("utf-8", "surrogatepass")
-                rank = self.vocabulary.ranks.get(data)
-                ids = (rank,) if rank is not None else tuple(self.vocabulary.encode(data))
-            elif self.words_whole and chunk[-1:] in MARKS and chunk[:-1].isalpha():
-                # So is a word before one mark, which is the next match.
-                ids = self._chunk(chunk[:-1])[1] + self.piece(chunk[-1])
-            else:
-                ids = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(" " + chunk))))
-            found = (" ".join(map(self.vocabulary.name_of.__getitem__, ids)), ids)
-        if len(self._chunks) >= self.cache:
-            self._old_chunks, self._chunks = self._chunks, {}
-        self._chunks[chunk] = found
-        return found
-
-    def _parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """A single space between two other characters always begins a match, so a text
-        without double white space falls into chunks at those places."""
-        if not text:
-            return []
-        if text[0].isspace() or text[-1].isspace() or WHITE_RUN.search(text):
-            return [self._long(text)]
-        chunks = text.split(" ")
-        first = self._long(chunks[0])
-        out = list(map(self._chunks.get, chunks))
-        out[0] = first
-        if None in out:
-            for i, found in enumerate(out):
-                if found is None:
-                    out[i] = self._chunk(chunks[i])
-        return out
-
-    def _long(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        """Long chunks aren't kept: they would fill the cache."""
+    def _new(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode("utf-8", "surrogatepass")
+        rank = self.vocabulary.ranks.get(data)
+        return (rank,) if rank is not None else tuple(self.vocabulary.encode(data))
+
+    def _chunk(self, chunk: str) -> list[int] | tuple[int, ...]:
+        """The ids of a text that isn't kept whole: its matches may be, but for long ones, which would fill the cache."""
+        if self.words_whole and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self._new(chunk)
+        if self.words_whole and len(chunk) > 2 and chunk[-1] in MARKS and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            # A word and a mark, which is the next match.
+            word = self.chunks.known(chunk[:-1])
+            return (*(self._new(chunk[:-1]) if word is None else array("i", word)), *self.piece(chunk[-1]))
         ids: list[int] = []
         for p in self.pattern.findall(chunk):
-            if len(p) < 64:
-                ids += self.piece(p)
-            else:
-                data = p.encode("utf-8", "surrogatepass")
-                rank = self.vocabulary.ranks.get(data)
-                ids += (rank,) if rank is not None else self.vocabulary.encode(data)
-        return " ".join(map(self.vocabulary.name_of.__getitem__, ids)), tuple(ids)
+            ids += self.piece(p) if len(p) < 64 else self._new(p)
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for _, ids in self._parts(text)))
+        return list(self._chunk(text)) if text else []
 
-    def encode_joined(self, text: str) -> tuple[str, list[int]]:
-        """The decimal ids joined by one space, and the ids."""
-        parts = self._parts(text)
-        return " ".join([s for s, _ in parts if s]), list(chain.from_iterable([ids for _, ids in parts]))
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin, with the end."""
+        if self.words_whole:
+            return self.chunks.encode(texts)
+        ids = [self.encode(t) for t in texts.fill_null("").to_pylist()]
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.cumsum([0, *map(len, ids)])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -410,6 +385,14 @@ def shared_encoder(data: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def joined(words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """What stands for each id, end to end, and the byte where each text's part begins, with the end."""
+    if not len(ids):
+        return memoryview(b""), [0] * len(ends)
+    out = words.take(pa.array(ids))
+    return memoryview(out.buffers()[2]), np.frombuffer(out.buffers()[1], np.int64)[ends].tolist()
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per document: n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids.
 
@@ -423,18 +406,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(shipped.value, pattern)
         for batch in batches:
-            n, ids_sha, decoded_sha, kept = [], [], [], []
-            for text in batch.column(1):
-                joined, ids = encoder.encode_joined(text.as_py() or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                if with_ids:
-                    kept.append(ids)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            ids, ends = encoder.encode_column(batch.column(1))
+            names_of, at = joined(encoder.names, ids, ends)
+            # The last name of a text has a space behind it.
+            ids_sha = [hashlib.sha256(names_of[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
+            bytes_of, at = joined(encoder.tokens, ids, ends)
+            decoded_sha = [hashlib.sha256(bytes_of[a:b]).hexdigest() for a, b in zip(at, at[1:])]
+            arrays = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

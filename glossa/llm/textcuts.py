@@ -6,7 +6,7 @@ counts as "other", so cuts by bytes are cuts by code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +89,42 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(begins)
     return slices(data, starts), np.searchsorted(starts, offsets)
+
+
+class ChunkIds:
+    """Ids of texts, where each distinct chunk is encoded once for as long as the cache has it; two generations of ``size`` chunks at most."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kind: str, size: int = 150_000):
+        self.own, self.kind, self.size = encode, np.dtype(kind), size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, chunk: str) -> bytes | None:
+        """What the cache has."""
+        return self.young.get(chunk) or self.old.get(chunk)
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, as bytes."""
+        found = list(map(self.young.get, chunks))
+        lack = [i for i, v in enumerate(found) if v is None]
+        new = []
+        for i in lack:
+            found[i] = self.old.get(chunks[i])
+            if found[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self.own([chunks[i] for i in new])):
+            found[i] = ids
+        if len(self.young) + len(lack) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update((chunks[i], found[i]) for i in lack if len(chunks[i]) < 64)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin, with the end."""
+        parts, ends = chunks(texts)
+        if not len(parts):
+            return np.zeros(0, self.kind), np.zeros(len(ends), np.int64)
+        coded = parts.dictionary_encode()
+        own = pa.array(self.of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        offsets = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1]
+        return np.frombuffer(own.buffers()[2], self.kind), offsets[ends] // self.kind.itemsize

@@ -57,9 +57,6 @@ _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 MAGIC = b"TANS"
 HEAD = struct.Struct("<4sHHIIQIQ")
-#: Chunks that a worker's cache holds; at most two generations live.
-CACHE = 150_000
-
 
 # Frequency table
 
@@ -226,54 +223,30 @@ def decode_range(data: bytes, table: Table, start: int, stop: int) -> np.ndarray
 # Tokenization
 
 
-class Chunks:
-    """Ids of chunks by the tokenizers library, as bytes; frequent ones are kept."""
-
-    def __init__(self, definition: bytes, kind: str):
-        # Spark's tasks use the cores already.
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_buffer(definition)
-        self.library.encode_special_tokens = True
-        self.kind = np.dtype(kind)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks."""
-        found = list(map(self.young.get, chunks))
-        lack = [i for i, v in enumerate(found) if v is None]
-        new = []
-        for i in lack:
-            found[i] = self.old.get(chunks[i])
-            if found[i] is None:
-                new.append(i)
-        for i, e in zip(new, self.library.encode_batch_fast([chunks[i] for i in new], add_special_tokens=False)):
-            found[i] = np.array(e.ids, self.kind).tobytes()
-        if len(self.young) + len(lack) > CACHE:
-            self.old, self.young = self.young, {}
-        self.young.update((chunks[i], found[i]) for i in lack if len(chunks[i]) < 64)
-        return found
-
-    def encode(self, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
-        """The ids of all texts end to end as bytes, and the byte where each text's begin, with the end."""
-        parts, ends = textcuts.chunks(texts)
-        coded = parts.dictionary_encode()
-        own = pa.array(self.ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-        offsets = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1] if len(own) else np.zeros(1, np.int64)
-        return own.buffers()[2] if len(own) else pa.py_buffer(b""), offsets[ends]
-
-
-_CHUNKS: dict[tuple[int, str], Chunks] = {}
-
-
-def shared_chunks(definition: bytes, kind: str) -> Chunks:
+def library_ids(definition: bytes, kind: str) -> textcuts.ChunkIds:
+    """Ids by the tokenizers library."""
+    # Spark's tasks use the cores already.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_buffer(definition)
+    library.encode_special_tokens = True
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    return textcuts.ChunkIds(encode, kind)
+
+
+_CHUNKS: dict[tuple[int, str], textcuts.ChunkIds] = {}
+
+
+def shared_chunks(definition: bytes, kind: str) -> textcuts.ChunkIds:
     """One per Python worker and vocabulary."""
     key = (hash(definition), kind)
     if key not in _CHUNKS:
         _CHUNKS.clear()
-        _CHUNKS[key] = Chunks(definition, kind)
+        _CHUNKS[key] = library_ids(definition, kind)
     return _CHUNKS[key]
 
 
@@ -292,8 +265,8 @@ def encode(docs: DataFrame, path: str, end: int = 0, doc_id: str = "doc_id", tex
         chunks = shared_chunks(shipped.value, kind)
         mark = np.array([end], kind).tobytes()
         for batch in batches:
-            data, offsets = chunks.encode(batch.column(1))
-            view, at = memoryview(data), offsets.tolist()
+            ids, offsets = chunks.encode(batch.column(1))
+            view, at = memoryview(ids.tobytes()), (offsets * ids.itemsize).tolist()
             rows = [b"".join((view[a:b], mark)) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 

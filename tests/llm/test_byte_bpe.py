@@ -2,6 +2,7 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from glossa.llm import byte_bpe
@@ -29,7 +30,16 @@ def test_encoding_equals_the_library(pair):
         ids = ours.encode(text)
         assert ids == library.encode_ordinary(text), repr(text)
         assert ours.decode(ids) == text.encode()
-        assert ours.encode_joined(text)[0] == " ".join(map(str, ids))
+
+
+def test_columns_equal_the_library(pair):
+    ours, library = pair
+    rng = random.Random(4)
+    texts = [None, "", " ", "a b", "  two", "end ", "é à ñ", "a\u3000 b", "x\u00a0 y \u2003z", "w" * 900, "don't 's 'll", *(drawn(rng) for _ in range(3000)), *(" ".join(drawn(rng, 8) for _ in range(9)) for _ in range(300))]
+    for own in (ours, byte_bpe.Encoder(ours.vocabulary.ranks, "(?:" + P.PATTERN + ")", 50)):
+        ids, ends = own.encode_column(pa.array(texts))
+        for t, a, b in zip(texts, ends.tolist(), ends[1:].tolist()):
+            assert ids[a:b].tolist() == library.encode_ordinary(t or ""), repr(t)
 
 
 def test_appends_and_edits_equal_a_fresh_encoding(pair):
