@@ -12,7 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 
 #: Text whose NFKC form is itself and whose case folding is lower case, apart from sharp s.
 PLAIN = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ]*$"
@@ -47,6 +47,17 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
+@F.pandas_udf(StringType())
+def _casefold(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: None if s is None else s.casefold(), na_action="ignore")
+
+
+def casefolded(c: Column, wide: bool = True) -> Column:
+    """Stripped and case folded, nothing else: two spellings of one term in a segment."""
+    s = strip(c)
+    return _only(F.replace(F.lower(s), F.lit("ß"), F.lit("ss")), s, _casefold, wide)
+
+
 def norm_key(c: Column, wide: bool = True) -> Column:
     """Grounding key: stripped, NFKC, case folded, white space collapsed. ``wide=False`` stays in the JVM (Latin-1 letters only)."""
     s = strip(c)
@@ -187,16 +198,6 @@ def best_phrase(text: Column) -> Column:
     return _first_phrase(text)
 
 
-def count_phrases(text: Column, phrases: list[str]) -> Column:
-    """How many of a bounded list of phrases the (normalised) text contains; the text is normalised once, not once a phrase."""
-
-    @F.pandas_udf(LongType())
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sum(p in t for p in phrases) if t is not None else 0)
-
-    return count(text)
-
-
 def document_key(document_id: Column, segment_id: Column) -> Column:
     own = strip(document_id)
     return F.coalesce(F.when(own != "", own), F.substring_index(segment_id, "_", 1))

@@ -125,17 +125,53 @@ def ancestor_chain(edges: DataFrame, concepts: DataFrame, wanted: DataFrame, hop
     return rows.groupBy("id").agg(F.array_sort(F.collect_set(one)).alias("c")).select("id", F.transform("c", lambda x: x["name"]).alias("chain"))
 
 
+def _either_way(edges: DataFrame) -> DataFrame:
+    up, down = edges.select(F.col("child").alias("at"), F.col("parent").alias("next")), edges.select(F.col("parent").alias("at"), F.col("child").alias("next"))
+    return down.unionByName(up).distinct()
+
+
+def _meeting(pairs: DataFrame, left: DataFrame, right: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose frontiers meet: walks go from the nodes of both ends, ``left`` and ``right`` (id, at), so neither side goes further than half the way."""
+    both = _either_way(edges)
+    far = _walk(left, both, hops - hops // 2).select(F.col("id").alias("a"), "at")
+    near = _walk(right, both, hops // 2).select(F.col("id").alias("b"), "at")
+    return pairs.select("a", "b").distinct().join(far, "a").join(near, ["b", "at"]).select("a", "b").distinct()
+
+
 def same_branch(pairs: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
-    """``pairs`` (a, b) with ``same``: equal, or joined by an undirected path of at most so many hops.
+    """``pairs`` (a, b) with ``same``: equal, or joined by an undirected path of at most so many hops."""
+    ends = [pairs.select(F.col(c).alias("id"), F.col(c).alias("at")).distinct() for c in ("a", "b")]
+    met = _meeting(pairs, *ends, edges, hops).withColumn("met", F.lit(True))
+    return pairs.join(met, ["a", "b"], "left").withColumn("same", F.coalesce("met", F.lit(False)) | (F.col("a") == F.col("b"))).drop("met")
+
 
-    Walks go from both ends and meet in the middle, so neither side goes further than half the way.
+def same_branch_names(pairs: DataFrame, concepts: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
+    """``pairs`` of names (a, b) with ``same``: equal but for case and outer white space, or a concept of one name within so many hops of one of the other.
+
+    A name stands for all its concepts: a walk begins at each of them and is kept by name. Null names and names of no concept are in no branch but their own.
     """
-    both = edges.select(F.col("parent").alias("at"), F.col("child").alias("next")).unionByName(edges.select(F.col("child").alias("at"), F.col("parent").alias("next"))).distinct()
-    left = _walk(pairs.select(F.col("a").alias("id"), F.col("a").alias("at")).distinct(), both, hops - hops // 2)
-    right = _walk(pairs.select(F.col("b").alias("id"), F.col("b").alias("at")).distinct(), both, hops // 2)
-    own = pairs.select("a", "b").distinct()
-    met = own.join(left.select(F.col("id").alias("a"), "at"), "a").join(right.select(F.col("id").alias("b"), "at"), ["b", "at"]).select("a", "b").distinct().withColumn("met", F.lit(True))
-    return pairs.join(met, ["a", "b"], "left").withColumn("same", F.coalesce("met", F.lit(False)) | (F.col("a") == F.col("b"))).drop("met")
+    key = lambda c: F.lower(strip(F.col(c)))
+    rows = pairs.withColumn("_a", key("a")).withColumn("_b", key("b"))
+    nodes = concepts.select(key("name").alias("id"), F.col("id").alias("at")).distinct()
+    own = rows.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    ends = [nodes.join(own.select(F.col(c).alias("id")).distinct(), "id", "left_semi") for c in ("a", "b")]
+    met = _meeting(own, *ends, edges, hops).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("met"))
+    return rows.join(met, ["_a", "_b"], "left").withColumn("same", F.coalesce("met", F.col("_a") == F.col("_b"), F.lit(False))).drop("met", "_a", "_b")
+
+
+def closure(edges: DataFrame, most: int = 8) -> DataFrame:
+    """(id, at, hops): all that lies above each concept, up to ``most`` hops, by doubling: each step joins the paths found so far with themselves.
+
+    Tiers bound the height, so three steps do for eight hops; of several paths the shortest counts.
+    """
+    paths = edges.select(F.col("child").alias("id"), F.col("parent").alias("at"), F.lit(1).alias("hops")).distinct()
+    reach = 1
+    while reach < most:
+        further = paths.join(paths.select(F.col("id").alias("at"), F.col("at").alias("above"), F.col("hops").alias("more")), "at")
+        longer = further.select("id", F.col("above").alias("at"), (F.col("hops") + F.col("more")).alias("hops"))
+        paths = paths.unionByName(longer).groupBy("id", "at").agg(F.min("hops").alias("hops"))
+        reach *= 2
+    return paths.where(F.col("hops") <= most)
 
 
 def by_name(concepts: DataFrame) -> DataFrame:

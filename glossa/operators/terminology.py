@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.similarity import cosine
-from glossa.functions.text import norm_metric
+from glossa.functions.text import casefolded, norm_metric
 
 
 def found_rendering(text: Column, renderings: Column) -> Column:
@@ -33,10 +33,10 @@ def _total(weight: Column) -> Column:
 
 
 def _once(scored: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Each segment's distinct spans by folded word; of equal ones the first place (column ``pos``, where there is one) counts."""
+    """Each segment's distinct spans by case-folded word; of equal ones the first place (column ``pos``, where there is one) counts."""
     place = F.struct(*[c for c in ("pos", "word") if c in scored.columns])
     kept = [c for c in ("grounded", "score", "ref_score") if c in scored.columns]
-    rows = scored.groupBy(*by, "id", norm_metric(F.col("word"), wide=False).alias("_word")).agg(F.min_by(F.struct(*kept), place).alias("x"))
+    rows = scored.groupBy(*by, "id", casefolded(F.col("word")).alias("_word")).agg(F.min_by(F.struct(*kept), place).alias("x"))
     return rows.select(*by, "x.*")
 
 

@@ -83,11 +83,14 @@ class Tables:
 
     def doc_pairs(self) -> DataFrame:
         """(id, lang, source, hyp, ref): a document against the next of its language and source."""
-        # Ids alone are sorted; texts join by id, which spreads evenly.
+        # Ids alone are sorted; texts join by id, which spreads evenly. What is done with pairs costs far more than their bytes, so their partitions
+        # are as many as the session says, and aren't put together by size.
+        n = int(self.documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ahead = Window.partitionBy("lang", "source").orderBy("doc_id")
         after = self.documents.select(F.col("doc_id").alias("id"), F.lead("doc_id").over(ahead).alias("next")).where("next is not null")
         refs = after.join(self.documents.where("text is not null").select(F.col("doc_id").alias("next"), F.col("text").alias("ref")), "next").drop("next")
-        return self.documents.select(F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("hyp")).join(refs, "id")
+        hyps = self.documents.select(F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("hyp"))
+        return hyps.repartition(n, "id").join(refs.repartition(n, "id"), "id")
 
     def turn_pairs(self) -> DataFrame:
         """(id, doc, ref, hyp): a user's turn and the assistant's that follows."""

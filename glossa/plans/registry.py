@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from glossa.functions import text as T
 from glossa.functions.similarity import cosine
-from glossa.operators import fluency, grounding, lookup, ontology, planning, report, stats, terminology
+from glossa.operators import fluency, grounding, lookup, ontology, phrases, planning, report, stats, terminology
 from glossa.plans.adapters import Tables, sql
 from glossa.sources import readers
 
@@ -182,13 +182,25 @@ def norm_variants(t: Tables) -> DataFrame:
 
 @query(", q AS (SELECT item_id, lower(text) AS p FROM benchmark) SELECT d.doc_id, count(*) AS phrases FROM documents d JOIN q ON contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), regexp_replace(q.p, '\\s+', ' ', 'g')) GROUP BY d.doc_id")
 def phrase_match(t: Tables) -> DataFrame:
-    """Benchmark passages that documents contain; the passages are a small table whose size is checked."""
-    items = t.benchmark.select(T.norm_metric(F.col("text")).alias("p")).where("p <> ''")
-    phrases = [r.p for r in items.limit(5001).collect()]
-    if len(phrases) > 5000:
-        raise ValueError("phrase tests take up to 5,000 phrases at once")
-    text = t.documents.select("doc_id", T.norm_metric(F.col("text")).alias("n"))
-    return text.select("doc_id", T.count_phrases(F.col("n"), phrases).alias("phrases")).where("phrases > 0")
+    """Benchmark passages that documents contain, any number of them."""
+    items = t.benchmark.select(F.col("item_id").alias("pid"), T.norm_metric(F.col("text")).alias("phrase"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), T.norm_metric(F.col("text")).alias("text"))
+    return phrases.phrase_hits(texts, items).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("phrases"))
+
+
+@query(
+    """, rn AS (SELECT id AS concept, 0 AS pos, regexp_replace(lower(name), '\\s+', ' ', 'g') AS phrase FROM concept WHERE tier = 'PT' UNION ALL SELECT id, 1, regexp_replace(lower(fr_label), '\\s+', ' ', 'g') FROM concept WHERE tier = 'PT' AND fr_label IS NOT NULL),
+hit AS (SELECT x.phrase, d.id FROM (SELECT DISTINCT phrase FROM rn) x JOIN (SELECT doc_id AS id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS text FROM documents) d ON contains(d.text, x.phrase)),
+best AS (SELECT id, concept, min(pos) AS pos FROM hit JOIN rn USING (phrase) GROUP BY ALL)
+SELECT concept, count(*) AS docs, count(*) FILTER (pos = 0) AS by_name, min(id) AS first_doc FROM best GROUP BY concept"""
+)
+def concept_renderings(t: Tables) -> DataFrame:
+    """In how many whole documents each preferred term stands, by its name or else by its label; all terms are searched at once."""
+    pt = t.concepts().where("tier = 'PT'")
+    named = [pt.select(F.col("id").alias("concept"), F.lit(i).alias("pos"), T.norm_metric(F.col(c)).alias("phrase")) for i, c in enumerate(("name", "fr_label"))]
+    texts = t.documents.select(F.col("doc_id").alias("id"), T.norm_metric(F.col("text")).alias("text"))
+    found = phrases.first_renderings(texts, named[0].unionByName(named[1]))
+    return found.groupBy("concept").agg(F.count(F.lit(1)).alias("docs"), F.count(F.when(F.col("pos") == 0, 1)).alias("by_name"), F.min("id").alias("first_doc"))
 
 
 @query(
@@ -430,21 +442,44 @@ def surface_rate(t: Tables) -> DataFrame:
     return terminology.surface_rate(g.join(t.doc_pairs().select("id", F.lower("hyp").alias("text")), "id"))
 
 
-TIERS = r""", pt AS (SELECT c.id, c.level, lower(c.name) AS own, lower(p.name) AS up FROM concept c LEFT JOIN edge_thin e ON e.child = c.id LEFT JOIN concept p ON p.id = e.parent),
-r AS (SELECT s.source, contains(d.t, pt.own) AS t1, contains(d.t, pt.own) OR coalesce(contains(d.t, pt.up), false) AS t2 FROM span s JOIN label_index x ON x.key = replace(s.word, 'ß', 'ss') JOIN pt ON pt.id = x.id JOIN (SELECT id, lower(ref) AS t FROM doc_pair) d ON d.id = s.id)
+ABOVE = r""", up1 AS (SELECT DISTINCT child AS id, parent AS node FROM edge_thin), up2 AS (SELECT id, node FROM up1 UNION SELECT x.id, y.node FROM up1 x JOIN up1 y ON y.id = x.node),
+up4 AS (SELECT id, node FROM up2 UNION SELECT x.id, y.node FROM up2 x JOIN up2 y ON y.id = x.node),
+names AS (SELECT u.id, list(DISTINCT lower(c.name)) AS up FROM up4 u JOIN concept c ON c.id = u.node GROUP BY u.id),
+parent_names AS (SELECT u.id, list(DISTINCT lower(c.name)) AS up FROM up1 u JOIN concept c ON c.id = u.node GROUP BY u.id),
+pt AS (SELECT c.id, lower(c.name) AS own, p.up AS parents, n.up AS above FROM concept c LEFT JOIN parent_names p ON p.id = c.id LEFT JOIN names n ON n.id = c.id),
+r AS (SELECT s.source, contains(d.t, pt.own) AS t1, len(list_filter(coalesce(parents, []), lambda x: contains(d.t, x))) > 0 AS t2, len(list_filter(coalesce(above, []), lambda x: contains(d.t, x))) > 0 AS t3
+  FROM span s JOIN label_index x ON x.key = replace(s.word, 'ß', 'ss') JOIN pt ON pt.id = x.id JOIN (SELECT id, lower(ref) AS t FROM doc_pair) d ON d.id = s.id)
 """
 
 
-@query(TIERS + "SELECT source, count(*) AS spans, sum(t1::INT)::BIGINT AS exact, sum(t2::INT)::BIGINT AS with_parent FROM r GROUP BY source")
+@query(ABOVE + "SELECT source, count(*) AS spans, sum(t1::INT)::BIGINT AS exact, sum((t1 OR t2)::INT)::BIGINT AS with_parent, sum((t1 OR t2 OR t3)::INT)::BIGINT AS with_ancestors FROM r GROUP BY source")
 def htm_alias_tiers(t: Tables) -> DataFrame:
-    """Spans found by their own name, or by their parent's too."""
-    thin, c = t.edges(thin=True), t.concepts()
-    up = thin.join(c.select(F.col("id").alias("parent"), F.lower("name").alias("up")), "parent").select(F.col("child").alias("cid"), "up")
+    """Spans found by their own name, by their parent's too, or by any ancestor's too."""
+    up = ontology.closure(t.edges(thin=True)).join(t.concepts().select(F.col("id").alias("at"), F.lower("name").alias("up")), "at")
+    # As many names as there are tiers above a concept.
+    up = up.groupBy(F.col("id").alias("cid")).agg(F.collect_set(F.when(F.col("hops") == 1, F.col("up"))).alias("parents"), F.collect_set("up").alias("above"))
     g = grounded(t).where("concept is not null").select("id", "source", F.lower("concept.name").alias("own"), F.col("concept.id").alias("cid"))
     rows = g.join(up, "cid", "left").join(t.doc_pairs().select("id", F.lower("ref").alias("text")), "id")
-    one = F.contains("text", F.col("own"))
-    two = one | F.coalesce(F.contains("text", F.col("up")), F.lit(False))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("spans"), F.sum(one.cast("long")).alias("exact"), F.sum(two.cast("long")).alias("with_parent"))
+    tiers = [F.contains("text", F.col("own")), *(F.coalesce(F.exists(c, lambda x: F.contains("text", x)), F.lit(False)) for c in ("parents", "above"))]
+    counts = [F.sum((tiers[0] if i == 0 else tiers[0] | tiers[1] if i == 1 else tiers[0] | tiers[1] | tiers[2]).cast("long")).alias(n) for i, n in enumerate(("exact", "with_parent", "with_ancestors"))]
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("spans"), *counts)
+
+
+@query(
+    """, nm AS (SELECT p_partkey, lower(trim(name)) AS name FROM labelled), pr AS (SELECT DISTINCT x.name AS a, y.name AS b FROM nm x JOIN nm y ON y.p_partkey = x.p_partkey * 7 % (SELECT count(*) FROM part) + 1),
+st AS (SELECT parent AS node, child AS next FROM edge_thin UNION SELECT child, parent FROM edge_thin),
+n0 AS (SELECT DISTINCT lower(trim(name)) AS key, id AS node FROM concept), f1 AS (SELECT key, node FROM n0 UNION SELECT key, next FROM n0 JOIN st USING (node)), f2 AS (SELECT key, node FROM f1 UNION SELECT key, next FROM f1 JOIN st USING (node)),
+f3 AS (SELECT key, node FROM f2 UNION SELECT key, next FROM f2 JOIN st USING (node)),
+met AS (SELECT DISTINCT a, b FROM pr JOIN f3 x ON x.key = a JOIN f2 y ON y.key = b AND y.node = x.node)
+SELECT pr.a, pr.b, pr.a = pr.b OR met.a IS NOT NULL AS same FROM pr LEFT JOIN met ON met.a = pr.a AND met.b = pr.b"""
+)
+def branch_by_names(t: Tables) -> DataFrame:
+    """For every part, whether its name and another part's stand in one branch; names stand for several concepts."""
+    names = t.labelled_parts().select("p_partkey", F.lower(T.strip(F.col("name"))).alias("name"))
+    n = t.part.agg(F.count(F.lit(1)).alias("n"))
+    other = names.select(F.col("p_partkey").alias("other"), F.col("name").alias("b"))
+    rows = names.crossJoin(F.broadcast(n)).select((F.col("p_partkey") * 7 % F.col("n") + 1).alias("other"), F.col("name").alias("a"))  # one row: the number of parts
+    return ontology.same_branch_names(rows.join(other, "other").select("a", "b").distinct(), t.concepts(), t.edges(thin=True))
 
 
 # ---- fluency ------------------------------------------------------------------------------------------------------

@@ -136,10 +136,8 @@ def in_order(ids: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def read_code_map(spark: SparkSession, path: str, value: int, numeric: bool = False) -> DataFrame:
-    """(code, value) of a delimited file without a head line: column 0 to column ``value``, the last line of a code wins."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    fields = F.split("value", r"[|$]")
-    rows = lines.select(strip(fields[0]).alias("code"), strip(F.try_element_at(fields, F.lit(value + 1))).alias("value"), F.struct("block", "line").alias("at"))
+    """(code, value) of delimited files without a head line: column 0 to column ``value``; the last line of a code wins, of several files that of the last name."""
+    rows = read_ontology_file(spark, path).select("file", "pos", F.col("fields")[0].alias("code"), F.try_element_at("fields", F.lit(value + 1)).alias("value"))
     rows = rows.where(F.col("code").rlike("^[0-9]+$") & (F.col("value") != ""))
     rows = rows.where(F.col("value").rlike("^[0-9]+$")) if numeric else rows
-    return rows.groupBy("code").agg(F.max_by("value", "at").alias("value"))
+    return rows.groupBy("code").agg(F.max_by("value", F.struct("file", "pos")).alias("value"))

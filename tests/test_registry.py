@@ -9,7 +9,10 @@ from glossa.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A query of each kind; all are compared by the driver.
-CHECKED = ["ccr_by_source", "ambiguous_keys", "asc_parse", "ancestor_chain", "same_branch_pairs", "corpus_bleu", "doc_chrf_macro", "kappa_per_field", "adjudication", "semantic_topk", "glossary_draft"]
+CHECKED = [
+    "ccr_by_source", "ambiguous_keys", "asc_parse", "ancestor_chain", "same_branch_pairs", "corpus_bleu", "doc_chrf_macro", "kappa_per_field", "adjudication", "semantic_topk", "glossary_draft",
+    "phrase_match", "concept_renderings", "htm_alias_tiers", "branch_by_names",
+]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 

@@ -68,6 +68,23 @@ def test_reports(spark, tmp_path):
     assert {tuple(r) for r in readers.read_code_map(spark, str(tmp_path / "llt.asc"), 1).collect()} == {("10", "Again"), ("11", "Other")}
 
 
+def test_code_maps_of_several_files(spark, tmp_path):
+    # A line with a bar is split at bars only; names may be in Windows-1252; of equal codes the last line of the last file counts.
+    (tmp_path / "a.asc").write_bytes("1|A $ B|9|\n2|first|8|\n2|second|7|\n3|only a|1|\n".encode())
+    (tmp_path / "b.asc").write_bytes("2$Apn\u00e9e$6$\r\n\r\nno$code$5$\r\n4$$5$\r\n".encode("cp1252"))
+    assert {tuple(r) for r in readers.read_code_map(spark, str(tmp_path / "*.asc"), 1).collect()} == {("1", "A $ B"), ("2", "Apn\u00e9e"), ("3", "only a")}
+    assert {tuple(r) for r in readers.read_code_map(spark, str(tmp_path / "*.asc"), 2, numeric=True).collect()} == {("1", "9"), ("2", "6"), ("3", "1"), ("4", "5")}
+
+
+def test_spans_differ_by_case_alone(spark):
+    rows = [(1, i, w, True, 1.0, 1.0) for i, w in enumerate(["a\u2013b", "a b", "A b ", "Stra\u00dfe", "strasse", "\u0130x"])]
+    table = spark.createDataFrame(rows, "id long, pos int, word string, grounded boolean, score double, ref_score double")
+    assert terminology.htm_reference(table).first().spans == 4
+    # Of equal spans the first place decides.
+    twice = spark.createDataFrame([(1, 2, "Flu", True, 0.0, 0.0), (1, 1, "flu", True, 1.0, 1.0)], table.schema)
+    assert terminology.htm_reference(twice).first().htm == 1.0
+
+
 def test_weights_equal_repeated_rows_and_folded_words_count_once(spark):
     schema = "id long, pos int, word string, grounded boolean, level int, found string, found_level int, score double, ref_score double"
     rows = [(1, 1, "Fever", True, 4, "fever", 4, 1.0, 1.0), (1, 2, "fever", True, 4, None, None, 0.0, 1.0), (1, 3, "cold", True, 4, "cold", 5, 0.5, 0.0), (2, 1, "x", False, None, None, None, 0.0, 0.0)]
