@@ -32,9 +32,7 @@ from glossa.llm.common import prepare
 CACHE = 250_000
 #: Bytes from which a table is an array, not a list: slower to make, a fifth of the memory.
 SHORT = 1024
-#: Marks that no rule of the pattern joins with letters.
-MARKS = frozenset(".,;:!?")
-#: A split pattern whose matches have a space only as their first character or among white space, so that texts may be cut at spaces; others are taken whole.
+#: A split pattern whose matches have a space only as their first character or among white space, so that texts may be cut (``textcuts.chunks``); for other patterns they are taken whole.
 CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -300,10 +298,6 @@ class Encoder:
         """The ids of a text that isn't kept whole: its matches may be, but for long ones, which would fill the cache."""
         if self.words_whole and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return self._new(chunk)
-        if self.words_whole and len(chunk) > 2 and chunk[-1] in MARKS and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            # A word and a mark, which is the next match.
-            word = self.chunks.known(chunk[:-1])
-            return (*(self._new(chunk[:-1]) if word is None else array("i", word)), *self.piece(chunk[-1]))
         ids: list[int] = []
         for p in self.pattern.findall(chunk):
             ids += self.piece(p) if len(p) < 64 else self._new(p)

@@ -64,28 +64,37 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterat
         yield pa.concat_batches(held)
 
 
-#: Bytes of a character that surely is no white space: the last byte of an ASCII one, or the first of a two-byte one above U+00BF.
+#: Bytes that surely are no white space: of an ASCII character, or the first of a two-byte one above U+00BF.
 _GRAPHIC = np.zeros(256, bool)
 _GRAPHIC[0x21:0x7F] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
+_MARK = byte_class(".,;:!?")
+_ALNUM = byte_class("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Texts cut before each space that stands between two characters which surely are no white space.
+    """Texts cut at places where a match always begins, for split patterns whose matches are letters, digits or other signs, each kind with one space
+    before it at most, or white space, or an apostrophe and letters.
 
-    A split pattern whose matches hold a space only as their first character or among white space begins a match at each
-    such place, so a text's tokens are those of its chunks, one after the other. Returns the chunks
-    and, for each text and the end, the number of chunks before it.
+    Such places are, between two characters that surely are no white space: a space; both sides of a line feed; and a mark of ``.,;:!?``
+    behind a letter or digit. No match reaches over them and none looks beyond them, so a text's tokens are those of its chunks, one after the other. Returns
+    the chunks and, for each text and the end, the number of chunks before it.
     """
     data, offsets = raw(texts)
     if not len(data):
         return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
-    space = np.flatnonzero(data[1:-1] == 0x20) + 1
-    after, before, two = data[space + 1], data[space - 1], data[np.maximum(space - 2, 0)]
-    space = space[(_GRAPHIC[after] | _LEAD[after]) & (_GRAPHIC[before] | ((before >= 0x80) & _LEAD[two]))]
     begins = np.zeros(len(data), bool)
-    begins[space] = True
+    kind = data[1:-1]
+    at = np.flatnonzero((kind == 0x20) | (kind == 0x0A) | _MARK[kind]) + 1
+    before, after, two, own = data[at - 1], data[at + 1], data[np.maximum(at - 2, 0)], data[at]
+    white = ~_MARK[own]
+    # A letter of two bytes: U+00C0 to U+017F but for the signs of multiplication and division.
+    letter = (before >= 0x80) & (two >= 0xC3) & (two <= 0xC5) & ~((two == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+    solid = (_GRAPHIC[after] | _LEAD[after]) & (_GRAPHIC[before] | ((before >= 0x80) & _LEAD[two]))
+    cut = np.where(white, solid, _ALNUM[before] | letter)
+    begins[at[cut]] = True
+    begins[at[cut & (own == 0x0A)] + 1] = True
     begins[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(begins)
     return slices(data, starts), np.searchsorted(starts, offsets)
@@ -94,15 +103,11 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class ChunkIds:
     """Ids of texts, where each distinct chunk is encoded once for as long as the cache has it; two generations of ``size`` chunks at most."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kind: str, size: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kind: str, size: int = 300_000):
         self.own, self.kind, self.size = encode, np.dtype(kind), size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def known(self, chunk: str) -> bytes | None:
-        """What the cache has."""
-        return self.young.get(chunk) or self.old.get(chunk)
-
     def of(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks, as bytes."""
         found = list(map(self.young.get, chunks))

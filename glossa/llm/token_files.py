@@ -32,6 +32,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -47,6 +48,8 @@ from glossa.llm.common import discard, prepare, shared_dir, stash
 
 #: Ids of a block, and of a part (a file), at least.
 BLOCK, PART = 1 << 20, 1 << 26
+#: Bytes of text that are encoded at a time, so that chunks they share are looked up once.
+TEXT = 4 << 20
 #: Lanes of a large block; a small one has a lane for every ``STEPS`` ids.
 LANES = 1024
 #: Steps between checkpoints.
@@ -232,8 +235,10 @@ def library_ids(definition: bytes, kind: str) -> textcuts.ChunkIds:
     library = Tokenizer.from_buffer(definition)
     library.encode_special_tokens = True
 
+    code = np.dtype(kind).char
+
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [array(code, e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     return textcuts.ChunkIds(encode, kind)
 
@@ -264,7 +269,7 @@ def encode(docs: DataFrame, path: str, end: int = 0, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = shared_chunks(shipped.value, kind)
         mark = np.array([end], kind).tobytes()
-        for batch in batches:
+        for batch in textcuts.blocks(batches, 1, TEXT):
             ids, offsets = chunks.encode(batch.column(1))
             view, at = memoryview(ids.tobytes()), (offsets * ids.itemsize).tolist()
             rows = [b"".join((view[a:b], mark)) for a, b in zip(at, at[1:])]
@@ -329,10 +334,10 @@ def write(docs: DataFrame, path: str, where: str | None = None, end: int = 0, pa
         kind = width(file.read(), end)
     encoded = stash(encode(docs, path, end), "token-ids")
     counts = frequencies(encoded, kind)
-    array = np.zeros(max(counts, default=0) + 1, np.int64)
+    often = np.zeros(max(counts, default=0) + 1, np.int64)
     for i, c in counts.items():
-        array[i] = c
-    freq, bits = scaled(array)
+        often[i] = c
+    freq, bits = scaled(often)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.mode("overwrite").parquet(f"{where}/table")
     shipped = spark.sparkContext.broadcast((freq, bits))
     id_type = docs.schema["doc_id"].dataType.simpleString()
