@@ -250,9 +250,11 @@ def parse_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.json_payload(F.when(F.col("event_id") % 2 == 0, fenced).otherwise(F.concat(F.lit("answer: "), F.col("props"), F.lit(" end")))).alias("payload"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(source, '_') THEN split_part(source, '_', 1) ELSE source END AS key FROM documents", views=False)
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'D' || doc_id ELSE split_part(source || '_' || doc_id || '_x', '_', 1) END AS key FROM documents", views=False)
 def document_keys(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.document_key(F.lit("  "), F.col("source")).alias("key"))
+    """A third of the documents have an own id, with blanks around it, the others a blank one or none, so their segment's id decides."""
+    own = F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit(" D"), F.col("doc_id").cast("string"), F.lit(" "))).when(F.col("doc_id") % 3 == 1, F.lit("  "))
+    return t.documents.select("doc_id", T.document_key(own, F.concat_ws("_", "source", "doc_id", F.lit("x"))).alias("key"))
 
 
 # ---- ontology -----------------------------------------------------------------------------------------------------

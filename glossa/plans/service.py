@@ -30,7 +30,7 @@ def asked(t: Tables) -> DataFrame:
     NEAREST + ENGLISH + """SELECT lang, source, count(*) AS terms, min(id) AS first FROM (
 SELECT o.term, o.lang, CASE WHEN o.key = '' THEN 'blank' WHEN c.id IS NOT NULL THEN 'code' WHEN lang = 'fr' AND x.n_concepts > 1 THEN 'ambiguous' WHEN lang = 'fr' AND x.id IS NOT NULL OR lang = 'en' AND en.id IS NOT NULL THEN 'exact' WHEN lang = 'fr' AND hit.key IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS source,
   CASE WHEN c.id IS NOT NULL THEN c.id WHEN lang = 'fr' THEN x.id ELSE en.id END AS id
-FROM own o LEFT JOIN concept c ON c.id = o.key LEFT JOIN label_index x ON x.key = o.key LEFT JOIN en ON en.key = o.key LEFT JOIN hit ON hit.key = o.key) WHERE source <> 'fuzzy' OR TRUE GROUP BY ALL""",
+FROM own o LEFT JOIN concept c ON c.id = o.key LEFT JOIN label_index x ON x.key = o.key LEFT JOIN en ON en.key = o.key LEFT JOIN hit ON hit.key = o.key) GROUP BY ALL""",
     recursive=True,
 )
 def lookup_service(t: Tables) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCORES = ["label", "display", "bleu", "chrf", "bleu_doc_macro", "bleu_doc_concat", "chrf_doc_macro", "comet", "htm", "htm_hyp_ref_agreement", "htm_en_ref_dataset", "ccr_dataset", "mean_s", "p95_s"]
+#: Columns of a table of scores, in order; vector columns stand between the two parts.
+SCORES = ["label", "display", "bleu", "chrf", "bleu_doc_macro", "bleu_doc_concat", "chrf_doc_macro", "comet", "htm", "htm_hyp_ref_agreement"]
+DATASET_SCORES = ["htm_en_ref_dataset", "ccr_dataset", "mean_s", "p95_s"]
 
 
 def write_results(df: DataFrame, path: str) -> None:
@@ -16,10 +18,10 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def write_scores(rows: DataFrame, ccr: DataFrame, path: str) -> None:
-    """Score rows in a fixed column order, vector columns (sorted) last, with the data set's coverage in each row."""
+    """Score rows in a fixed column order, vector columns (sorted) before those of the data set, with the data set's coverage in each row."""
     wide = rows.drop("ccr_dataset").crossJoin(F.broadcast(ccr))  # one row
     vectors = sorted(c for c in rows.columns if c.startswith("htm_vector_"))
-    columns = [c for c in SCORES if c in wide.columns] + vectors
+    columns = [c for c in [*SCORES, *vectors, *DATASET_SCORES] if c in wide.columns]
     wide.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -59,3 +59,10 @@ def test_following_a_folder_adds_each_row_once(spark, tmp_path):
     lines(tmp_path / "in" / "b.json", [{"id": "2", "system": "s1", "hyp": "z"}, {"id": "3", "system": "s1", "hyp": "z"}])
     follow_results(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
     assert sorted((r.id, r.hyp) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("1", "x"), ("2", "y"), ("3", "z")]
+
+
+def test_score_columns_stand_in_their_fixed_order(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", 0.1, 0.5, 0.2, 0.3, 1.0)], "label string, htm_vector_090 double, p95_s double, htm_vector_080 double, htm_en_ref_dataset double, bleu double")
+    writers.write_scores(rows, spark.createDataFrame([(0.7,)], "ccr_dataset double"), str(tmp_path / "scores"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "scores"))
+    assert back.columns == ["label", "bleu", "htm_vector_080", "htm_vector_090", "htm_en_ref_dataset", "ccr_dataset", "p95_s"] and back.count() == 1
