@@ -133,26 +133,3 @@ def concatenated(pairs: DataFrame, group: str, order: str, sep: str = " ") -> Da
     own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), fluency_text(F.col("hyp")).alias("hyp"), F.col("ref").alias("ref"))))
     rows = pairs.groupBy(group).agg(own.alias("own"))
     return rows.select(group, *[F.array_join(F.col("own")[k], sep).alias(k) for k in ("hyp", "ref")])
-
-
-def paired_bootstrap(stats: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """delta, ci_low, ci_high of BLEU between two systems with ``base`` and ``tuned`` statistics per segment (pos from 0).
-
-    Statistics add up, so a resample is a weighted sum. Each of the B * n draws (a table of their digests, portable
-    to any engine) is joined with its segment and summed before the shuffle; the bounds are picked by rank.
-    """
-    n = stats.count()
-    if n == 0:
-        return stats.sparkSession.sql("select cast('NaN' as double) delta, cast('NaN' as double) ci_low, cast('NaN' as double) ci_high, 0L as n_segments")
-    width = 2 + 2 * ORDERS
-    spark = stats.sparkSession
-    grid = spark.range(draws).select(F.col("id").alias("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "b", "j")), 1, 8), 16, 10).cast("long") % n
-    drawn = grid.select("b", pick.alias("pos")).groupBy("b", "pos").agg(F.count(F.lit(1)).alias("w"))
-    sums = drawn.join(stats, "pos").groupBy("b").agg(*[F.sum(F.col(k)[i] * F.col("w")).alias(f"{k}{i}") for k in ("base", "tuned") for i in range(width)])
-    delta = bleu_of([F.col(f"tuned{i}") for i in range(width)]) - bleu_of([F.col(f"base{i}") for i in range(width)])
-    deltas = sums.select(delta.alias("d"))
-    ranked = deltas.agg(F.sort_array(F.collect_list("d")).alias("d"))  # as many values as draws
-    bounds = ranked.select(F.element_at("d", int(0.025 * draws) + 1).alias("ci_low"), F.element_at("d", int(0.975 * draws)).alias("ci_high"))
-    whole = stats.agg(*[F.sum(F.col(k)[i]).alias(f"{k}{i}") for k in ("base", "tuned") for i in range(width)]).select(delta.alias("delta"))
-    return whole.crossJoin(bounds).withColumn("n_segments", F.lit(n))  # two tables of one row

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from glossa.functions import text as T
 from glossa.functions.similarity import cosine
-from glossa.operators import fluency, grounding, lookup, ontology, phrases, planning, report, stats, terminology
+from glossa.operators import bootstrap, fluency, grounding, lookup, ontology, phrases, planning, report, stats, terminology
 from glossa.plans.adapters import Tables, sql
 from glossa.sources import readers
 
@@ -554,16 +554,36 @@ def worst_chrf_topk(t: Tables) -> DataFrame:
     return fluency.sentence_chrf(turn_groups(t)).select("id", F.round("chrf", 6).alias("chrf")).orderBy("chrf", "id").limit(50)
 
 
-@query()
+BOTH_SYSTEMS = ", bp AS (SELECT id, 'base' AS grp, hyp, ref FROM turn_pair UNION ALL SELECT id, 'tuned', ref || ' ' || upper(hyp), ref FROM turn_pair)"
+DRAWS = 2000
+PICKED = bootstrap.draw_sql(bootstrap.draw_sql(f"SELECT b, j FROM range({DRAWS}) x(b), range((SELECT n FROM nk)) y(j)", "hi", 42, "0", "b", "j"), "lo", 42, "1", "b", "j")
+PLACED = bootstrap.draw_sql("SELECT b, blk, size, row_number() OVER (PARTITION BY b, blk) - 1 AS i FROM picked JOIN pos USING (pos)", "h", 42, "2 + blk", "b", "i")
+BOOT = f""", nk AS MATERIALIZED (SELECT count(*) AS n, greatest(ceil(count(*) / {bootstrap.BLOCK}), 1)::BIGINT AS k FROM turn_pair),
+bk AS (SELECT id, ('0x' || substr(md5(id), 1, 8))::BIGINT % k AS blk, k FROM turn_pair, nk),
+pos AS MATERIALIZED (SELECT id, blk, row_number() OVER (ORDER BY blk, id) - 1 AS pos, row_number() OVER (PARTITION BY blk ORDER BY id) - 1 AS off, count(*) OVER (PARTITION BY blk) AS size FROM bk),
+picked AS MATERIALIZED (SELECT b, ((hi * 4294967296::UBIGINT + lo) % n::UBIGINT)::BIGINT AS pos FROM ({PICKED}), nk),
+drawn AS (SELECT b, blk, (h % size::UBIGINT)::BIGINT AS off, count(*) AS w FROM ({PLACED}) GROUP BY ALL),
+wt AS (SELECT b, id, w FROM drawn JOIN pos USING (blk, off) UNION ALL SELECT -1, id, 1 FROM pos),
+om AS (SELECT id, grp, n, sum(least(a, b))::BIGINT AS m, sum(a)::BIGINT AS tot FROM ct GROUP BY id, grp, n),
+bs AS (SELECT w.b, grp, n, sum(w * m)::BIGINT AS m, sum(w * tot)::BIGINT AS tot FROM wt w JOIN om USING (id) GROUP BY w.b, grp, n),
+bz AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY b, grp ORDER BY n) AS z FROM bs WHERE tot > 0),
+bb AS (SELECT b, grp, sum(ln(CASE WHEN m = 0 THEN 100.0 / (power(2, z) * tot) ELSE 100.0 * m / tot END)) / 4 AS l, sum(m) AS hits, count(*) AS orders FROM bz GROUP BY b, grp),
+bn AS (SELECT w.b, grp, sum(w * len(h)) AS sys, sum(w * len(r)) AS refs FROM wt w JOIN tk USING (id) GROUP BY w.b, grp),
+sy AS (SELECT b, grp, CASE WHEN hits > 0 AND orders = 4 THEN exp(l) * CASE WHEN sys >= refs THEN 1 ELSE exp(1 - refs / sys) END ELSE 0 END AS bleu FROM bn LEFT JOIN bb USING (b, grp)),
+dl AS (SELECT b, sum(CASE WHEN grp = 'tuned' THEN bleu ELSE -bleu END) AS d FROM sy GROUP BY b),
+rk AS (SELECT d, row_number() OVER (ORDER BY d) AS r FROM dl WHERE b >= 0)
+SELECT (SELECT round(d, 6) FROM dl WHERE b = -1) AS delta, (SELECT round(d, 6) FROM rk WHERE r = {int(0.025 * DRAWS) + 1}) AS ci_low, (SELECT round(d, 6) FROM rk WHERE r = {int(0.975 * DRAWS)}) AS ci_high, n AS n_segments FROM nk"""
+
+
+@query(BOTH_SYSTEMS + BLEU_SQL + BOOT)
 def bootstrap_delta_bleu(t: Tables) -> DataFrame:
-    """Turns against the user's turn, and upper-cased from one word on as the second system; the tests cover equal systems only so far."""
+    """Turns against the user's turn, and upper-cased after the user's words as the second system."""
     pairs = turn_groups(t)
     other = pairs.withColumn("hyp", F.concat_ws(" ", F.col("ref"), F.upper("hyp")))
-    pos = F.row_number().over(Window.orderBy("id")) - 1
     base = fluency.with_bleu_stats(pairs).select("id", F.col("stats").alias("base"))
-    both = base.join(fluency.with_bleu_stats(other).select("id", F.col("stats").alias("tuned")), "id").withColumn("pos", pos.cast("long"))
-    found = fluency.paired_bootstrap(both.select("pos", "base", "tuned"), draws=2000)
-    return found.select(*[F.round(c, 6).alias(c) for c in ("delta", "ci_low", "ci_high")], F.col("n_segments").cast("long").alias("n_segments"))
+    both = base.join(fluency.with_bleu_stats(other).select("id", F.col("stats").alias("tuned")), "id")
+    found = bootstrap.paired_bootstrap(both, draws=DRAWS)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("delta", "ci_low", "ci_high")], "n_segments")
 
 
 # ---- timing, scores, figures --------------------------------------------------------------------------------------
