@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -111,3 +111,27 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def with_direction(rows: DataFrame, vector: Column, name: str) -> DataFrame:
+    """``rows`` with the vector in doubles over its length; null for zero, null and non-finite ones.
+
+    Vector and length are columns of their own and the length is repeated as an array, as a lambda would compute them again for each place.
+    """
+    norm = F.sqrt(F.aggregate("_vector", F.lit(0.0), lambda a, x: a + x * x))
+    wide = rows.withColumn("_vector", vector.cast("array<double>")).withColumn("_norm", norm)
+    own = F.zip_with("_vector", F.array_repeat("_norm", F.size("_vector")), lambda x, n: x / n)
+    return wide.withColumn(name, F.when((F.col("_norm") > 0) & (F.col("_norm") < float("inf")), own)).drop("_vector", "_norm")
+
+
+def inner(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+#: A lexical embedder that needs no model: how often each of these letters stands in the lower-cased text.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text: Column) -> Column:
+    counts = lambda low: F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), counts), 1)  # lower-cased once

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from glossa.functions.text import norm_key
 from glossa.operators.grounding import best_matches, fuzzy_matches
-from glossa.operators.ontology import by_name
+from glossa.operators.ontology import ancestors, by_name, rank_of
 
 THRESHOLD, TOP, LIMIT = 0.55, 5, 8
 FLOOR = 0.85
@@ -172,3 +172,47 @@ def collect_candidates(terms: DataFrame, concepts: DataFrame, limit: int = LIMIT
     best = found.groupBy("term", "id").agg(F.min_by(F.struct("score", "source", "arrival"), F.struct(-F.col("score"), "arrival")).alias("b")).select("term", "id", "b.*")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "arrival"))
     return best.withColumn("rank", place).where(F.col("rank") <= limit).select("term", "id", "source", "score", "rank")
+
+
+#: Parents and children that a view shows; how many there are stands beside them.
+SHOWN = 200
+
+
+def concept_view(concepts: DataFrame) -> DataFrame:
+    """(id, view): what is shown of each concept; a blank label is null, an unknown tier is empty."""
+    label = F.nullif(F.trim("fr_label"), F.lit(""))
+    name = F.coalesce("name", F.lit(""))
+    return concepts.select("id", F.struct("id", name.alias("name"), name.alias("en_label"), "level", F.coalesce("tier", F.lit("")).alias("tier"), label.alias("fr_label")).alias("view"))
+
+
+def related_views(wanted: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, kind, view): every parent and child of the wanted ids that is a concept, without loops."""
+    e, ids = edges.where("parent <> child").select("parent", "child").distinct(), wanted.select("id").distinct()
+    sides = [(a, b, kind) for a, b, kind in (("child", "parent", "parent"), ("parent", "child", "child"))]
+    up, down = (e.select(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(kind).alias("kind")).join(ids, "id", "left_semi") for a, b, kind in sides)
+    return up.unionByName(down).join(concept_view(concepts).withColumnRenamed("id", "other"), "other").select("id", "kind", "view")
+
+
+def concept_views(wanted: DataFrame, concepts: DataFrame, edges: DataFrame, shown: int = SHOWN, hops: int = 6) -> DataFrame:
+    """(id, view, n_parents, n_children, parents, children, ancestors, parent_names, ancestor_summary), one row a wanted id that is a concept.
+
+    Parents and children go by level, name and id; the first ``shown`` stand in the row and :func:`related_views` has them all, so a
+    concept of many children is no wide row. Ancestors go from the broadest tier to the concept itself; their
+    names make the summary. Unknown ids have no row, repeated ones one.
+    """
+    ids = wanted.select("id").distinct()
+    related = related_views(ids, concepts, edges)
+    counts = related.groupBy("id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(n) for k, n in (("parent", "n_parents"), ("child", "n_children"))])
+    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("view.level", "view.name", "view.id"))
+    first = related.withColumn("place", place).where(F.col("place") <= shown)
+    lists = first.groupBy("id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "view")))), lambda x: x["view"]).alias(n) for k, n in (("parent", "parents"), ("child", "children"))])
+    views = concept_view(concepts)
+    own = F.struct(rank_of(F.col("view.tier")).alias("rank"), F.col("view.level").alias("level"), F.col("view.name").alias("name"), F.col("at"), F.col("view").alias("view"))
+    above = ancestors(edges, ids, hops).join(views.withColumnRenamed("id", "at"), "at").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["view"]).alias("ancestors"))
+    rows = views.join(ids, "id", "left_semi").join(counts, "id", "left").join(lists, "id", "left").join(above, "id", "left")
+    none = F.filter("ancestors", lambda x: F.lit(False))
+    numbers = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_parents", "n_children")]
+    kinds = [F.coalesce(k, none).alias(k) for k in ("parents", "children")]
+    names = lambda c: F.filter(F.transform(c, lambda x: x["name"]), lambda x: x != "")
+    rows = rows.select("id", "view", *numbers, *kinds, "ancestors")
+    return rows.withColumn("parent_names", names("parents")).withColumn("ancestor_summary", F.nullif(F.array_join(names("ancestors"), " › "), F.lit("")))

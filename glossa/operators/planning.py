@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossa.functions.text import norm_key
+from glossa.functions.similarity import inner, with_direction
+from glossa.functions.text import norm_key, strip
+from glossa.operators.ontology import NEIGHBOURS, by_name, neighbours
 
+#: From a text column to its vectors: a plug-in's Pandas UDF, or an expression.
+Embedder = Callable[[Column], Column]
 ALPHA, BETA, GAMMA = 0.5, 0.3, 0.2
 
 
@@ -22,6 +28,40 @@ def plan_locks(candidates: DataFrame, alpha: float = ALPHA, beta: float = BETA,
     return candidates.withColumn("score", score).withColumn("place", place).where("place = 1").select("term", "en", "score")
 
 
+def mean_direction(rows: DataFrame, by: str, direction: str, size: int) -> DataFrame:
+    """(by, n, mean): the mean of unit vectors of ``size`` numbers, place by place; a null vector counts as zero.
+
+    The mean cosine of a vector with all of them is its own direction times this mean, so what meets the vector is one row
+    a group and not one a member. The sums combine before the shuffle.
+    """
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(direction)[i]), F.lit(0.0)).alias(f"_s{i}") for i in range(size)])
+    return sums.select(by, "n", F.array(*[F.col(f"_s{i}") / F.col("n") for i in range(size)]).alias("mean"))
+
+
+def segment_locks(segments: DataFrame, index: DataFrame, concepts: DataFrame, edges: DataFrame, embed: Embedder, size: int, cap: int = NEIGHBOURS, wide: bool = True) -> DataFrame:
+    """(term, en, score): the English rendering that each term of ``segments`` (id, text, terms) is locked to.
+
+    A term is grounded by its key in ``index``; ambiguous and unknown ones get no lock. Candidates are the concept's name and up to
+    ``cap`` names around it, in this order. A candidate's context is its mean cosine with the texts in which the term
+    stands (each place counts), its neighbourhood the mean cosine with the names around the concept; see :func:`plan_locks`.
+    Blank terms are left out; texts and names without a direction (zero vectors) have a cosine of 0 with everything.
+    Texts are embedded once each and names once each. Similarities are rounded to nine places, so that equal candidates tie.
+    """
+    own = with_direction(segments, embed(F.col("text")), "direction").select("direction", F.explode("terms").alias("word"))
+    terms = mean_direction(own.select(strip(F.col("word")).alias("term"), "direction").where("term <> ''"), "term", "direction", size)
+    known = index.where("not is_ambiguous").select("key", F.col("concept.id").alias("id"), F.col("concept.name").alias("name"), F.col("concept.level").alias("own_level"))
+    ground = terms.withColumn("key", norm_key(F.col("term"), wide=wide)).join(known, "key").select("term", "id", "name", "own_level", F.col("mean").alias("context"))
+    around = neighbours(edges, concepts, ground, cap)
+    listed = ground.join(around, "id", "left").withColumn("names", F.concat(F.array("name"), F.coalesce("names", F.array().cast("array<string>"))))
+    listed = listed.select("term", "id", "own_level", "context", F.posexplode("names").alias("ord", "en")).where("en is not null")
+    names = with_direction(listed.select("en").distinct(), embed(F.col("en")), "direction")
+    near = mean_direction(around.select("id", F.explode("names").alias("en")).join(names, "en", "left"), "id", "direction", size).select("id", F.col("mean").alias("near"))
+    levels = by_name(concepts).select("key", F.col("concept.level").alias("level"))
+    rows = listed.join(names, "en").join(near, "id", "left").join(levels, F.lower(strip(F.col("en"))) == F.col("key"), "left")
+    similarity = lambda c: F.round(F.coalesce(inner(F.col("direction"), F.col(c)), F.lit(0.0)), 9)
+    return plan_locks(rows.select("term", "en", "ord", similarity("context").alias("context_sim"), similarity("near").alias("neighbour_sim"), "level", "own_level"))
+
+
 def phrases(terms: DataFrame, glossary: DataFrame, normalise_keys: bool = False) -> DataFrame:
     """(id, phrases): distinct English phrases of each segment's terms (id, pos, word), in the order of the terms.
 

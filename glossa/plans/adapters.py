@@ -33,8 +33,10 @@ class Tables:
         return joined.select("p_partkey", F.col("w").alias("fr_label"), F.coalesce("w2", F.concat(F.lit("part "), F.col("p_partkey").cast("string"))).alias("name"))
 
     def concepts(self) -> DataFrame:
-        """(id, name, level, tier, fr_label) in five tiers."""
+        """(id, name, level, tier, fr_label) in five tiers. Kept, as queries join this table with itself under several keys; what memory lacks goes to disk."""
+        return self._concepts().persist()
 
+    def _concepts(self) -> DataFrame:
         def tier(df: DataFrame, key, name, level: int, code: str, label) -> DataFrame:
             return df.select(key.cast("string").alias("id"), name.alias("name"), F.lit(level).alias("level"), F.lit(code).alias("tier"), label.alias("fr_label"))
 
@@ -52,7 +54,10 @@ class Tables:
         )
 
     def edges(self, thin: bool = False) -> DataFrame:
-        """(parent, child); ``thin`` keeps one supplier per part."""
+        """(parent, child); ``thin`` keeps one supplier per part. Kept, as concepts are."""
+        return self._edges(thin).persist()
+
+    def _edges(self, thin: bool) -> DataFrame:
         c = F.col
 
         def pair(df: DataFrame, a, b) -> DataFrame:

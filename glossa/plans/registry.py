@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossa.functions import text as T
-from glossa.functions.similarity import cosine
+from glossa.functions.similarity import LETTERS, cosine, letter_counts
 from glossa.operators import bootstrap, fluency, grounding, lookup, ontology, phrases, planning, report, stats, terminology
-from glossa.plans.adapters import Tables, sql
+from glossa.plans.adapters import WORD, Tables, sql
 from glossa.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -732,6 +732,39 @@ def planning_locks(t: Tables) -> DataFrame:
     return planning.plan_locks(rows).withColumn("score", F.round("score", 6))
 
 
+def letters_sql(text: str) -> str:
+    """Unit vectors of letter counts; null without letters."""
+    counts = ", ".join(f"length({text}) - length(replace({text}, '{x}', ''))" for x in LETTERS)
+    return f"(SELECT CASE WHEN list_inner_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) END FROM (SELECT [{counts}]::DOUBLE[] AS v))"
+
+
+NEAR_SQL = """SELECT w.id, e.parent AS other, 0 AS kind FROM w JOIN edge_thin e ON e.child = w.id UNION ALL SELECT w.id, e.child, 1 FROM w JOIN edge_thin e ON e.parent = w.id
+  UNION ALL SELECT w.id, f.child, 2 FROM w JOIN edge_thin e ON e.child = w.id JOIN edge_thin f ON f.parent = e.parent AND f.child <> w.id"""
+
+
+@query(f""", dv AS (SELECT doc_id AS seg, {letters_sql("lower(coalesce(text, ''))")} AS u FROM documents),
+tu AS (SELECT x.word AS term, g.id, g.name, g.level AS own_level, count(*) AS n FROM span x JOIN label_index g ON g.key = replace(x.word, 'ß', 'ss') AND n_concepts = 1 GROUP BY ALL),
+ti AS (SELECT tu.term, i, sum(coalesce(u[i], 0)) / any_value(n) AS x FROM tu JOIN span s ON s.word = tu.term JOIN dv ON dv.seg = s.id, range(1, {len(LETTERS) + 1}) r(i) GROUP BY tu.term, i),
+ctx AS (SELECT term, list(x ORDER BY i) AS context FROM ti GROUP BY term),
+w AS (SELECT DISTINCT id FROM tu), nb AS ({NEAR_SQL}), k AS (SELECT nb.id, c.name, min(kind) AS kind FROM nb JOIN concept c ON c.id = nb.other GROUP BY nb.id, c.name),
+ar AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, name) AS place FROM k) WHERE place <= 16),
+ls AS (SELECT term, id, own_level, name AS en, 0 AS ord FROM tu UNION ALL SELECT term, tu.id, own_level, ar.name, place FROM tu JOIN ar USING (id)),
+nv AS (SELECT en, {letters_sql("lower(en)")} AS u FROM (SELECT DISTINCT en FROM ls)),
+ni AS (SELECT id, i, sum(coalesce(u[i], 0)) / count(*) AS x FROM ar JOIN nv ON nv.en = ar.name, range(1, {len(LETTERS) + 1}) r(i) GROUP BY id, i),
+nr AS (SELECT id, list(x ORDER BY i) AS near FROM ni GROUP BY id),
+lv AS (SELECT lower(trim(name)) AS key, arg_min(level, (-level, id)) AS level FROM concept GROUP BY 1),
+sc AS (SELECT term, en, ord, 0.5 * round(coalesce(list_inner_product(u, context), 0), 9) + 0.3 * round(coalesce(list_inner_product(u, near), 0), 9) - 0.2 * coalesce(abs(lv.level - own_level), 0) AS score
+  FROM ls JOIN ctx USING (term) JOIN nv USING (en) LEFT JOIN nr USING (id) LEFT JOIN lv ON lv.key = lower(trim(en)))
+SELECT term, en, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, ord) AS r FROM sc) WHERE r = 1""")
+def segment_locks(t: Tables) -> DataFrame:
+    """Documents as segments, their distinct words as terms, letter counts as vectors."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: F.length(w) >= 4))
+    segments = t.documents.select(F.col("doc_id").alias("id"), "text", words.alias("terms"))
+    concepts = t.concepts()
+    found = planning.segment_locks(segments, grounding.label_index(concepts), concepts, t.edges(thin=True), letter_counts, len(LETTERS), wide=False)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(""", v AS (SELECT label, vec_id // 64 AS part, vec_id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT c.label, c.part, c.vec_id AS c, f.vec_id AS f, list_cosine_similarity(c.v, f.v) AS sim FROM v c JOIN v f USING (label, part) WHERE c.vec_id % 2 = 0 AND f.vec_id % 2 = 1)
 SELECT label, part, round(max(sim), 6) AS sim, (CASE WHEN max(sim) < 0.3 THEN 0.0 WHEN arg_min(f, (-sim, c, f)) % 4 = 1 THEN 1.0 ELSE 0.5 END)::DOUBLE AS score FROM pr GROUP BY label, part""")
 def htm_vector(t: Tables) -> DataFrame:

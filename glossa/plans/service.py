@@ -168,3 +168,24 @@ def display_labels(t: Tables) -> DataFrame:
     folder = F.concat(F.lit(" /results/run/"), F.col("event_type"), F.lit("/ "))
     rows = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.col("event_type").alias("label"), report.display_label(label).alias("display"), report.condition_name(folder).alias("condition"), "n")
+
+
+@query(
+    """, rl AS (SELECT DISTINCT e.child AS id, 'p' AS kind, c.id AS other, c.name, c.level FROM edge_thin e JOIN concept c ON c.id = e.parent WHERE e.parent <> e.child
+  UNION ALL SELECT DISTINCT e.parent, 'c', c.id, c.name, c.level FROM edge_thin e JOIN concept c ON c.id = e.child WHERE e.parent <> e.child),
+pl AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY level, name, other) AS place FROM rl),
+rs AS (SELECT id, count(*) FILTER (kind = 'p') AS n_parents, count(*) FILTER (kind = 'c') AS n_children, string_agg(name, '|' ORDER BY place) FILTER (kind = 'p' AND place <= 200) AS parent_names,
+  string_agg(other, '|' ORDER BY place) FILTER (kind = 'c' AND place <= 200) AS children FROM pl GROUP BY id),
+up(id, node, hops) AS (SELECT id, id, 0 FROM concept UNION SELECT up.id, e.parent, up.hops + 1 FROM up JOIN edge_thin e ON e.child = up.node WHERE up.hops < 6),
+ab AS (SELECT u.id, string_agg(c.name, ' › ' ORDER BY c.level, c.name, c.id) AS ancestor_summary FROM (SELECT DISTINCT id, node FROM up) u JOIN concept c ON c.id = u.node GROUP BY u.id)
+SELECT c.id, c.name, c.level, c.tier, nullif(trim(c.fr_label), '') AS fr_label, coalesce(n_parents, 0) AS n_parents, coalesce(n_children, 0) AS n_children, coalesce(parent_names, '') AS parent_names, coalesce(children, '') AS children, ancestor_summary
+FROM concept c LEFT JOIN rs USING (id) JOIN ab USING (id)""",
+    recursive=True,
+)
+def concept_views(t: Tables) -> DataFrame:
+    """The view of every concept."""
+    c = t.concepts()
+    rows = lookup.concept_views(c, c, t.edges(thin=True))
+    shown = [F.col(f"view.{k}").alias(k) for k in ("name", "level", "tier", "fr_label")]
+    children = F.array_join(F.transform("children", lambda x: x["id"]), "|").alias("children")
+    return rows.select("id", *shown, "n_parents", "n_children", F.array_join("parent_names", "|").alias("parent_names"), children, "ancestor_summary")

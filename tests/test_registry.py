@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: A query of each kind; all are compared by the driver.
 CHECKED = [
     "ccr_by_source", "ambiguous_keys", "asc_parse", "ancestor_chain", "same_branch_pairs", "corpus_bleu", "doc_chrf_macro", "kappa_per_field", "adjudication", "semantic_topk", "glossary_draft",
-    "phrase_match", "concept_renderings", "htm_alias_tiers", "branch_by_names", "bootstrap_delta_bleu",
+    "phrase_match", "concept_renderings", "htm_alias_tiers", "branch_by_names", "bootstrap_delta_bleu", "segment_locks", "concept_views",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
