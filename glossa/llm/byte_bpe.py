@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from glossa.llm import textcuts
-from glossa.llm.common import prepare
+from glossa.llm.common import prepare, release
 
 #: Entries of the generation of a piece cache; at most two generations live.
-CACHE = 250_000
+CACHE = 100_000
 #: Bytes of text that are encoded at a time, so that chunks they share are looked up once.
 TEXT = 2 << 20
 #: Bytes from which a table is an array, not a list: slower to make, a fifth of the memory.
@@ -280,6 +280,11 @@ class Encoder:
         #: The decimal name with a space, and the bytes, of each id.
         self.names, self.tokens = pa.array(names, pa.large_binary()), pa.array(tokens, pa.large_binary())
 
+    def clear(self) -> None:
+        """Forgets what it has kept."""
+        self._young, self._old = {}, {}
+        self.chunks.clear()
+
     def piece(self, piece: str) -> tuple[int, ...]:
         found = self._young.get(piece)
         if found is None:
@@ -373,7 +378,7 @@ _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
 def shared_encoder(data: bytes, pattern: str) -> Encoder:
-    """One encoder per Python worker and vocabulary: what a task has learnt serves the next one."""
+    """One encoder per Python worker and vocabulary: only its tables stay in a worker between tasks."""
     key = (hash(data), pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -401,19 +406,23 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(shipped.value, pattern)
-        for batch in textcuts.blocks(batches, 1, TEXT):
-            ids, ends = encoder.encode_column(batch.column(1))
-            names_of, at = joined(encoder.names, ids, ends)
-            # The last name of a text has a space behind it.
-            ids_sha = [hashlib.sha256(names_of[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
-            bytes_of, at = joined(encoder.tokens, ids, ends)
-            decoded_sha = [hashlib.sha256(bytes_of[a:b]).hexdigest() for a, b in zip(at, at[1:])]
-            arrays = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        try:
+            for batch in textcuts.blocks(batches, 1, TEXT):
+                ids, ends = encoder.encode_column(batch.column(1))
+                names_of, at = joined(encoder.names, ids, ends)
+                # The last name of a text has a space behind it.
+                ids_sha = [hashlib.sha256(names_of[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
+                bytes_of, at = joined(encoder.tokens, ids, ends)
+                decoded_sha = [hashlib.sha256(bytes_of[a:b]).hexdigest() for a, b in zip(at, at[1:])]
+                arrays = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+                    names.append("token_ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            encoder.clear()
+            release()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(run, schema + (", token_ids array<int>" if with_ids else ""))

@@ -108,6 +108,9 @@ class ChunkIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def of(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks, as bytes."""
         found = list(map(self.young.get, chunks))

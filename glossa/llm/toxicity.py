@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import discard, draw, prepare, stash
+from glossa.llm.common import discard, draw, prepare, release, stash
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of a window.
@@ -111,8 +111,11 @@ class Spelling:
             self.young[word] = found
         return found
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
-#: One per Python worker: spelling depends on no model.
+
+#: One per Python worker: spelling depends on no model. A task leaves it empty, as workers outlive their stage.
 _SPELLING = Spelling()
 
 
@@ -297,14 +300,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         scorer = _scorer(own)
-        for batch in batches:
-            if own.constant is not None:
-                value = np.full(batch.num_rows, own.constant)
-            else:
-                value = curve(np.array([features(scorer.gains(t.as_py()), own.gain) for t in batch.column(text)]).reshape(-1, 3), own.weights)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"]
-            )
+        try:
+            for batch in batches:
+                if own.constant is not None:
+                    value = np.full(batch.num_rows, own.constant)
+                else:
+                    value = curve(np.array([features(scorer.gains(t.as_py()), own.gain) for t in batch.column(text)]).reshape(-1, 3), own.weights)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"]
+                )
+        finally:
+            _SPELLING.clear()
+            release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, f"{fields}, score double, predicted int")

@@ -105,3 +105,20 @@ def test_operator_on_nulls_repeats_and_extra_columns(spark):
 def test_a_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         byte_bpe.Vocabulary({b"a": 0})
+
+
+def test_workers_keep_no_texts_between_tasks(spark):
+    """Workers outlive their stage; what they keep adds up to the executor's memory."""
+    from glossa.llm.queries import tokenizer_file
+
+    path, pattern = tokenizer_file()
+    docs = spark.createDataFrame([(i, f"words of text number {i} and its end") for i in range(400)], "doc_id long, text string").repartition(4)
+    byte_bpe.encode_decode(docs, path, pattern).write.format("noop").mode("overwrite").save()
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e._young) + len(e._old) + len(e.chunks.young) + len(e.chunks.old) for e in byte_bpe._ENCODERS.values())])], names=["n"])
+
+    assert {r.n for r in spark.range(0, 4, 1, 4).mapInArrow(kept, "n long").collect()} == {0}
