@@ -66,3 +66,14 @@ def test_score_columns_stand_in_their_fixed_order(spark, tmp_path):
     writers.write_scores(rows, spark.createDataFrame([(0.7,)], "ccr_dataset double"), str(tmp_path / "scores"))
     back = spark.read.option("header", True).csv(str(tmp_path / "scores"))
     assert back.columns == ["label", "bleu", "htm_vector_080", "htm_vector_090", "htm_en_ref_dataset", "ccr_dataset", "p95_s"] and back.count() == 1
+
+
+def test_fields_of_a_line_are_cut_once(spark):
+    from pyspark.sql import functions as F
+
+    from glossa.functions.text import split_fields
+    from glossa.operators.ontology import parse_hierarchy
+
+    parsed = spark.createDataFrame([("1|a|2|b|3|c|4|d|5|e",)], "line string").select(parse_hierarchy(split_fields(F.col("line"))).alias("h"))
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2  # by bars, by dollar signs
+    assert parsed.first().h.soc_name == "e"
