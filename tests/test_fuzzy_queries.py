@@ -103,3 +103,28 @@ def test_substrings_of_whole_documents(spark, small):
     assert len(held["foxx"]) == 2  # a word of four letters, in a part's label and in a leaf's
     got = {r.term: (r.hits, r.first) for r in registry.queries()["substring_candidates"](spark, small).collect()}
     assert got == {w: (len(ids), min(ids)) for w, ids in held.items() if ids}
+
+
+def test_blocks_of_words_find_what_single_words_find():
+    import random
+
+    from glossa.functions.similarity import LabelMasks
+
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("aabcdeé x") for _ in range(n))
+    labels = sorted({make(rng.randint(1, 14)) for _ in range(400)} | {make(80), "a" * 63, "a" * 64, "a" * 65})
+    words = [make(rng.randint(1, 16)) for _ in range(700)] + ["a" * 66, "ß", "qqqq", labels[-1]]
+    masks = LabelMasks(labels)
+    for cutoff in (90, 75.0, 50.0):
+        got = [(int(i), masks.labels[j], float(s)) for a, b, c in masks.matches_of(words, cutoff) for i, j, s in zip(a, b, c)]
+        assert sorted(got) == sorted((i, x, s) for i, w in enumerate(words) for x, s in masks.matches(w, cutoff)) and got
+
+
+def test_the_fuzzy_stage_has_the_stated_number_of_tasks(spark):
+    from glossa.operators import grounding
+
+    words = spark.createDataFrame([(f"word{i}",) for i in range(200)], "key string")
+    matches = grounding.fuzzy_matches(words, words)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    matches.collect()
+    assert matches.rdd.getNumPartitions() == n and matches.where("word_key = label_key").count() == 200
