@@ -125,7 +125,7 @@ def paired_bootstrap(stats: DataFrame, draws: int = 2000, seed: int = 42, block:
 
     ``stats`` has (id, base, tuned), the statistics of each segment under both systems. Rows without one of them are left out.
     """
-    stats = stats.where("base is not null and tuned is not null")
+    stats = stats.where("base is not null and tuned is not null").persist()  # four passes over a few numbers a segment; texts are scored once
     deltas = resampled(stats, draws, seed, block).select(_delta().alias("d"))
     ranked = deltas.agg(F.sort_array(F.collect_list("d")).alias("d"))  # as many values as draws
     at = [F.coalesce(F.try_element_at("d", F.lit(i)), F.lit(float("nan"))) for i in (int(0.025 * draws) + 1, max(1, int(0.975 * draws)))]
