@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from glossa.functions.similarity import inner, with_direction
 from glossa.functions.text import norm_key, strip
+from glossa.operators.grounding import sent_if_small
 from glossa.operators.ontology import NEIGHBOURS, by_name, neighbours
 
 #: From a text column to its vectors: a plug-in's Pandas UDF, or an expression.
@@ -48,10 +49,15 @@ def segment_locks(segments: DataFrame, index: DataFrame, concepts: DataFrame, ed
     Texts are embedded once each and names once each. Similarities are rounded to nine places, so that equal candidates tie.
     """
     own = with_direction(segments, embed(F.col("text")), "direction").select("direction", F.explode("terms").alias("word"))
-    terms = mean_direction(own.select(strip(F.col("word")).alias("term"), "direction").where("term <> ''"), "term", "direction", size)
+    own = own.select(strip(F.col("word")).alias("term"), "direction").where("term <> ''")
+    # Most distinct words are of no concept; they are left out before directions are summed.
+    named = segments.select(F.explode("terms").alias("word")).distinct().select(strip(F.col("word")).alias("term")).distinct()
+    known_keys = index.where("not is_ambiguous").select("key")
+    named = sent_if_small(named.where("term <> ''").withColumn("key", norm_key(F.col("term"), wide=wide)).join(known_keys, "key", "left_semi").select("term"))
+    terms = mean_direction(own.join(named, "term", "left_semi"), "term", "direction", size).persist()
     known = index.where("not is_ambiguous").select("key", F.col("concept.id").alias("id"), F.col("concept.name").alias("name"), F.col("concept.level").alias("own_level"))
     ground = terms.withColumn("key", norm_key(F.col("term"), wide=wide)).join(known, "key").select("term", "id", "name", "own_level", F.col("mean").alias("context"))
-    around = neighbours(edges, concepts, ground, cap)
+    around = neighbours(edges, concepts, ground, cap).persist()  # listed, embedded and averaged
     listed = ground.join(around, "id", "left").withColumn("names", F.concat(F.array("name"), F.coalesce("names", F.array().cast("array<string>"))))
     listed = listed.select("term", "id", "own_level", "context", F.posexplode("names").alias("ord", "en")).where("en is not null")
     names = with_direction(listed.select("en").distinct(), embed(F.col("en")), "direction")
