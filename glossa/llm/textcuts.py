@@ -69,7 +69,8 @@ _GRAPHIC = np.zeros(256, bool)
 _GRAPHIC[0x21:0x7F] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
-_MARK = byte_class(".,;:!?")
+#: All ASCII signs but the apostrophe, which may begin a match with the letters behind it.
+_MARK = byte_class("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _ALNUM = byte_class("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
@@ -77,7 +78,7 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Texts cut at places where a match always begins, for split patterns whose matches are letters, digits or other signs, each kind with one space
     before it at most, or white space, or an apostrophe and letters.
 
-    Such places are, between two characters that surely are no white space: a space; both sides of a line feed; and a mark of ``.,;:!?``
+    Such places are, between two characters that surely are no white space: a space; both sides of a line feed; and an ASCII sign but the apostrophe
     behind a letter or digit. No match reaches over them and none looks beyond them, so a text's tokens are those of its chunks, one after the other. Returns
     the chunks and, for each text and the end, the number of chunks before it.
     """
@@ -133,6 +134,6 @@ class ChunkIds:
         if not len(parts):
             return np.zeros(0, self.kind), np.zeros(len(ends), np.int64)
         coded = parts.dictionary_encode()
-        own = pa.array(self.of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        own = pa.array(self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
         offsets = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1]
         return np.frombuffer(own.buffers()[2], self.kind), offsets[ends] // self.kind.itemsize

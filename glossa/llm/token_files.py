@@ -29,6 +29,7 @@ gives empty files; extra columns play no part, whatever their names. A document
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -50,6 +51,8 @@ from glossa.llm.common import discard, prepare, shared_dir, stash
 BLOCK, PART = 1 << 20, 1 << 26
 #: Bytes of text that are encoded at a time, so that chunks they share are looked up once.
 TEXT = 4 << 20
+#: New chunks that the library encodes as one text, with line feeds between them.
+JOINED = 200
 #: Lanes of a large block; a small one has a lane for every ``STEPS`` ids.
 LANES = 1024
 #: Steps between checkpoints.
@@ -225,9 +228,12 @@ def decode_range(data: bytes, table: Table, start: int, stop: int) -> np.ndarray
 
 # Tokenization
 
+#: Chunks of signs that surely are no white space, with one space before them at most: matches of the split pattern end before and behind a line feed next to them.
+_PLAIN = re.compile(" ?[!-~\u00c0-\u024f]+")
+
 
 def library_ids(definition: bytes, kind: str) -> textcuts.ChunkIds:
-    """Ids by the tokenizers library."""
+    """Ids by the tokenizers library; plain chunks are encoded many at a time, with line feeds between them, where the line feed has an id of its own."""
     # Spark's tasks use the cores already.
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -235,11 +241,29 @@ def library_ids(definition: bytes, kind: str) -> textcuts.ChunkIds:
     library = Tokenizer.from_buffer(definition)
     library.encode_special_tokens = True
 
-    code = np.dtype(kind).char
+    code, size = np.dtype(kind).char, np.dtype(kind).itemsize
+    feed = library.encode("\n", add_special_tokens=False).ids
+    apart = len(feed) == 1 and library.encode("a\n b\na", add_special_tokens=False).ids.count(feed[0]) == 2
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def single(chunks: list[str]) -> list[bytes]:
         return [array(code, e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def encode(chunks: list[str]) -> list[bytes]:
+        plain = [i for i, c in enumerate(chunks) if _PLAIN.fullmatch(c)] if apart else []
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        out: list[bytes | None] = [None] * len(chunks)
+        for group, e in zip(groups, library.encode_batch_fast(["\n".join([chunks[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, kind)
+            at = (np.flatnonzero(ids == feed[0]) * size).tolist()
+            if len(at) + 1 == len(group):
+                data = ids.tobytes()
+                for i, a, b in zip(group, [0, *[a + size for a in at]], [*at, len(data)]):
+                    out[i] = data[a:b]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, single([chunks[i] for i in rest])):
+            out[i] = ids
+        return out
+
     return textcuts.ChunkIds(encode, kind)
 
 
@@ -294,11 +318,11 @@ def frequencies(encoded: DataFrame, kind: str) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                more = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(more) > len(counts):
-                    counts, more = more, counts
-                counts[: len(more)] += more
+            # One count a batch, as each is as long as the vocabulary.
+            more = np.bincount(np.frombuffer(b"".join(ids.as_buffer() for ids in batch.column(0)), kind))
+            if len(more) > len(counts):
+                counts, more = more, counts
+            counts[: len(more)] += more
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "c"])
 

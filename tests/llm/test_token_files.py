@@ -40,6 +40,30 @@ def test_chunks_have_the_tokens_of_whole_texts(library):
     assert "".join(textcuts.chunks(part)[0].to_pylist()) == "".join(texts[7:107])
 
 
+def test_new_words_are_encoded_many_at_a_time(library, monkeypatch):
+    words = [f" wört{i}a" for i in range(1000)] + ["'s", " 's", "×'t", "Ā", "ɏ$", " !", "<|endoftext|>"]
+    odd = ["\n", " ", "  a", "a ", "\u00a0b", "日本", "\ta", " \u3000", "\r", "a\nb"]
+    texts: list[str] = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, batch, **options):
+            texts.extend(batch)
+            return library.encode_batch_fast(batch, **options)
+
+    import tokenizers
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Made", (), {"from_buffer": staticmethod(lambda _: Counted())}))
+    chunks = T.library_ids(b"", "<u2")
+    rng = random.Random(3)
+    new = rng.sample(words + odd, len(words) + len(odd))
+    assert [np.frombuffer(x, "<u2").tolist() for x in chunks.of(new)] == [library.encode(x, add_special_tokens=False).ids for x in new]
+    assert len(texts) < 40  # each word was a text of its own
+    assert textcuts.chunks(pa.array(["abc$$$ d's (é)-1"]))[0].to_pylist() == ["abc", "$$$", " d's", " (é", ")-1"]
+
+
 @pytest.mark.parametrize("n, kinds", [(0, 3), (1, 1), (255, 5), (5000, 2), (300_000, 40_000), (270_001, 3)])
 def test_block_round_trip(n, kinds):
     rng = np.random.default_rng(n)
