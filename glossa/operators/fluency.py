@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -18,6 +21,8 @@ from glossa.functions.text import fluency_text
 
 ORDERS = 4
 CHAR_ORDERS, BETA = 6, 2
+#: Bytes of text that are cut and counted at a time; the arrays take some thirty times as much.
+COUNTED = 1 << 20
 
 
 def tokens_13a(text: Column) -> Column:
@@ -31,21 +36,94 @@ def tokens_13a(text: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda x: x != "")
 
 
-def _grams(tokens, n: int) -> Counter:
-    return Counter(zip(*(tokens[i:] for i in range(n))))
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def _bleu_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    out = []
-    for h, r in zip(hyp, ref):
-        h, r = list(h), list(r)
-        row = [len(h), len(r)]
-        for n in range(1, ORDERS + 1):
-            a, b = _grams(h, n), _grams(r, n)
-            row += [sum(min(c, b[g]) for g, c in a.items() if g in b), max(len(h) - n + 1, 0)]
-        out.append(row)
-    return pd.Series(out)
+#: The white space of Java's ``(?U)\\s``.
+_TRAILING = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def _class(characters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters.encode("ascii"))] = True
+    return out
+
+
+_WHITE, _DIGIT, _POINT = _class("\t\n\x0b\f\r "), _class("0123456789"), _class(".,")
+_SIGN = _class("{|}~[\\]^_`!\"#$%&()*+:;<=>?@/")
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of :func:`tokens_13a` for a whole column: the row of each, and a number that equal tokens share.
+
+    Of a run of points and commas each is a token, but for the last one before a digit: it stays with the digit where the pattern's pairs of
+    "no digit, mark" leave it out, after a digit in runs of odd length, after anything else in runs of even length.
+    """
+    texts = pc.utf8_rtrim(texts, characters=_TRAILING)
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        texts = pc.replace_substring(texts, old, new)
+    # A space between texts, and at both ends, so that no place lacks a neighbour.
+    none, space = pa.scalar("", texts.type), pa.scalar(" ", texts.type)
+    texts = pc.binary_join_element_wise(pa.concat_arrays([pa.array([""], texts.type), texts]), none, space)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, offsets[-1])
+    white, digit, point, alone = _WHITE[data], _DIGIT[data], _POINT[data], _SIGN[data]
+    alone |= point
+    first, last = np.flatnonzero(point[1:] & ~point[:-1]) + 1, np.flatnonzero(point[:-1] & ~point[1:])
+    stays = digit[last + 1] & (digit[first - 1] == ((last - first) % 2 == 0))
+    alone[last[stays]] = False
+    dash = np.flatnonzero(data == 0x2D)
+    alone[dash[digit[dash - 1]]] = True
+    begins = ~white
+    begins[1:] &= white[:-1] | alone[1:] | alone[:-1]
+    starts = np.flatnonzero(begins)
+    kept = ~white
+    places = np.append(np.cumsum(kept)[starts] - 1, kept.sum())
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data[kept])])
+    return np.searchsorted(offsets, starts, "right") - 2, words.dictionary_encode().indices.to_numpy()
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    return pa.array(keys).dictionary_encode().indices.to_numpy()
+
+
+def _counted(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    """A row of statistics for each pair."""
+    n = len(hyp)
+    row, code = _cut(pa.concat_arrays([hyp, ref]))
+    length = np.bincount(row, minlength=2 * n)
+    out = np.zeros((n, 2 + 2 * ORDERS), np.int64)
+    out[:, 0], out[:, 1] = length[:n], length[n:]
+    base = int(code.max(initial=0)) + 1
+    # An n-gram is numbered by its first n - 1 tokens and its last one, a single token by its pair of texts and itself. N-grams go on only from
+    # those that both sides have.
+    at, gram = np.arange(len(row)), row % max(n, 1)
+    for order in range(1, ORDERS + 1):
+        out[:, 1 + 2 * order] = np.maximum(length[:n] - order + 1, 0)
+        end = at + order - 1
+        inside = end < len(row)
+        inside[inside] = row[end[inside]] == row[at[inside]]
+        at, end = at[inside], end[inside]
+        gram = _dense(gram[inside].astype(np.int64) * base + code[end])
+        own = row[at] < n
+        size = int(gram.max(initial=-1)) + 1
+        both = np.minimum(np.bincount(gram[own], minlength=size), np.bincount(gram[~own], minlength=size))
+        pair = np.zeros(size, np.int64)
+        pair[gram] = row[at] % max(n, 1)
+        out[:, 2 * order] = np.bincount(pair, weights=both, minlength=n).astype(np.int64)
+        met = both[gram] > 0
+        at, gram = at[met], gram[met]
+    return out
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _bleu_stats(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    hyp, ref = hyp.cast(pa.large_string()), ref.cast(pa.large_string())
+    ends = np.cumsum(pc.binary_length(hyp).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(ref).to_numpy(zero_copy_only=False))
+    parts, at = [np.zeros((0, 2 + 2 * ORDERS), np.int64)], 0
+    while at < len(hyp):
+        to = max(at + 1, int(np.searchsorted(ends, COUNTED + (ends[at - 1] if at else 0), "right")))
+        parts.append(_counted(hyp.slice(at, to - at), ref.slice(at, to - at)))
+        at = to
+    rows = np.concatenate(parts)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -62,8 +140,8 @@ def _chrf_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
 
 
 def with_bleu_stats(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """``pairs`` with ``stats``: lengths of both, then matches and totals of each order."""
-    return pairs.withColumn("stats", _bleu_stats(tokens_13a(fluency_text(F.col(hyp))), tokens_13a(F.coalesce(ref, F.lit("")))))
+    """``pairs`` with ``stats``: lengths of both in the tokens of :func:`tokens_13a`, then matches and totals of each order."""
+    return pairs.withColumn("stats", _bleu_stats(fluency_text(F.col(hyp)), F.coalesce(ref, F.lit(""))))
 
 
 def with_chrf_stats(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:

@@ -51,6 +51,42 @@ def test_tokens(spark):
     assert row == ["Say", '"', "hi", '"', ",", "to-day", ":", "3.5", "&", "1,000", "costs", "2", "-", "3", "."]
 
 
+def plain_counts(h, r):
+    from collections import Counter
+
+    row = [len(h), len(r)]
+    for n in range(1, 5):
+        x, y = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (h, r))
+        row += [sum((x & y).values()), max(len(h) - n + 1, 0)]
+    return row
+
+
+def test_bleu_counts_equal_the_tokens(spark, monkeypatch):
+    rng = random.Random(4)
+    signs = list("ab 12.,-.,- ") + [".", ",", "\n", "-\n", "&amp;", "lt;", "&quot;", "<skipped>", "é", "日", "\u00a0", "\u0085", "\t", "\x0b", "$", "'", "(", "/", "\\", "`"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a b " * 4000, "", None, "x.,1", "1,,,2", "1.2", "5-6", ".5"]
+    rows = [(t, rng.choice([t, rng.choice(texts)])) for t in texts]
+    df = spark.createDataFrame(rows, "hyp string, ref string")
+    got = fluency.with_bleu_stats(df).select("stats", *[fluency.tokens_13a(F.coalesce(c, F.lit(""))).alias(c) for c in ("hyp", "ref")]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.stats == plain_counts(r.hyp, r.ref)
+    assert fluency.with_bleu_stats(df.limit(0)).collect() == []
+
+
+def test_bleu_takes_large_batches_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    taken = []
+    whole = fluency._counted
+    monkeypatch.setattr(fluency, "_counted", lambda h, r: taken.append(len(h)) or whole(h, r))
+    monkeypatch.setattr(fluency, "COUNTED", 1000)
+    texts = pa.array(["a b c", "d " * 900, *["a b"] * 500, ""])
+    rows = fluency._bleu_stats.func(texts, texts).to_pylist()
+    assert rows[:2] == [plain_counts(x, x) for x in (["a", "b", "c"], ["d"] * 900)] and rows[-1] == [0] * 10 and len(rows) == sum(taken) == 503
+    assert max(taken) < 170 and len(taken) > 3
+
+
 def test_chrf(spark):
     assert fluency.corpus_chrf(frame(spark, ["abc def"], ["abc def"])).first().chrf == pytest.approx(100)
     assert fluency.corpus_chrf(frame(spark, ["xyz"], ["abc"])).first().chrf == 0
