@@ -71,3 +71,29 @@ def test_concept_views(spark, graph):
     top = lookup.concept_views(wanted.where("id = '4'"), concepts, edges, shown=1).first()
     assert [x.id for x in top.children] == ["5"] and top.n_children == 2
     assert {(r.kind, r.view.id) for r in lookup.related_views(wanted.where("id = '4'"), concepts, edges).collect()} == {("parent", "1"), ("child", "5"), ("child", "6")}
+
+
+def test_ancestor_views_over_many_paths(spark):
+    # A loop, a ring, two ways of unequal length, an unknown node between known ones, repeated edges and a repeated concept.
+    rows = [(str(i), f"n{i}", i % 5 + 1, ("SOC", "HLGT", "HLT", "PT", "LLT")[i % 5], None if i % 2 else f"f{i}") for i in range(12)] + [("3", "n3", 4, "PT", None)]
+    pairs = [("0", "1"), ("1", "2"), ("0", "2"), ("2", "2"), ("2", "x"), ("x", "3"), ("3", "4"), ("3", "4"), ("4", "5"), ("5", "6"), ("6", "7"), ("7", "8"), ("9", "10"), ("10", "11"), ("11", "9"), ("1", "3")]
+    concepts, edges = spark.createDataFrame(rows, CONCEPTS), spark.createDataFrame(pairs, "parent string, child string")
+    got = {r.id: [x.id for x in r.ancestors] for r in lookup.ancestor_views(concepts, concepts, edges).collect()}
+    for start in {r[0] for r in rows}:
+        seen, level = {start}, {start}
+        for _ in range(6):
+            level = {a for a, b in pairs if b in level}
+            seen |= level
+        assert got[start] == [r[0] for r in sorted((r for r in rows if r[0] in seen), key=lambda r: (r[2], r[1], r[0]))]
+
+
+def test_ancestors_are_gathered_once_a_parent(spark):
+    # A thousand children of one node under one root: their walks would meet in the root as a thousand rows.
+    concepts = spark.createDataFrame([("r", "root", 1, "SOC", None), ("m", "middle", 2, "HLGT", None)] + [(f"c{i}", f"leaf {i}", 5, "LLT", None) for i in range(1000)], CONCEPTS)
+    edges = spark.createDataFrame([("r", "m")] + [("m", f"c{i}") for i in range(1000)], "parent string, child string")
+    views = lookup.concept_views(concepts, concepts, edges)
+    assert views.where("ancestor_summary like 'root › middle › leaf %'").count() == 1000
+    plan = views._jdf.queryExecution().optimizedPlan().toString()
+    assert "hops" not in plan  # no walk of each concept
+    top = {r.id: r for r in views.where("id in ('m', 'r')").collect()}
+    assert (top["m"].n_children, len(top["m"].children), top["m"].n_parents, top["r"].n_parents) == (1000, lookup.SHOWN, 1, 0)
