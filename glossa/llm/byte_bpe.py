@@ -29,9 +29,9 @@ from glossa.llm import textcuts
 from glossa.llm.common import prepare, release
 
 #: Entries of the generation of a piece cache; at most two generations live.
-CACHE = 100_000
+CACHE = 50_000
 #: Bytes of text that are encoded at a time, so that chunks they share are looked up once.
-TEXT = 2 << 20
+TEXT = 1 << 20
 #: Bytes from which a table is an array, not a list: slower to make, a fifth of the memory.
 SHORT = 1024
 #: A split pattern whose matches have a space only as their first character or among white space, so that texts may be cut (``textcuts.chunks``); for other patterns they are taken whole.

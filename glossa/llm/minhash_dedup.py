@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import discard, prepare, stash
+from glossa.llm.common import discard, prepare, releasing, stash
 from glossa.llm.components import components
 
 SHINGLE = 5
@@ -38,6 +39,8 @@ SKETCH_LEAST = 0.55
 BLOCK = 256
 #: Shingles of the documents that one task compares on full sets, on either side: about 4,000 documents of usual length.
 BLOCK_SHINGLES = 1_500_000
+#: Bytes of text whose words are hashed at once; the arrays for this take some sixty times as many.
+STEP = 1 << 18
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -66,9 +69,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, sorted, one after the other, and where each text's begin (n + 1)."""
-    n = len(texts)
+    """Hashes of the distinct shingles of each text, sorted, one after the other, and where each text's begin (n + 1); about ``STEP`` bytes of text at a time."""
     texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // STEP)) + 1).tolist(), len(texts)]
+    found = [_shingle_sets(texts.slice(a, b - a), shingle) for a, b in zip(cuts, cuts[1:])]
+    sizes = np.concatenate([np.diff(begins) for _, begins in found])
+    return np.concatenate([sets for sets, _ in found]), np.append(0, np.cumsum(sizes))
+
+
+def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(texts)
     wide = pa.types.is_large_string(texts.type)
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
@@ -150,7 +161,7 @@ def sign(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("xh")).mapInArrow(run, f"doc_id {kind}, xh long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("xh")).mapInArrow(releasing(run), f"doc_id {kind}, xh long, n_shingles long, h1 long, h2 long, keys array<long>, sketch binary")
 
 
 def by_group(rows: DataFrame, key: str, columns: list[str], run: Callable, schema: str) -> DataFrame:
@@ -182,7 +193,7 @@ def by_group(rows: DataFrame, key: str, columns: list[str], run: Callable, schem
         if held is not None and held.num_rows:
             yield from out(held)
 
-    return rows.select(key, *columns).repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(stream, schema)
+    return rows.select(key, *columns).repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(releasing(stream), schema)
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -274,7 +285,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
                 ok.append(shared > 0 and 100 * shared >= percent * (one.size + two.size - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long").distinct()
+    return both.mapInArrow(releasing(run), "x long, y long").distinct()
 
 
 def _blocks(shingles: Column) -> Column:

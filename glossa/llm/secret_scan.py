@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import prepare
+from glossa.llm.common import prepare, releasing
 
 BASE_KINDS = ("assign", "access", "hex")
 LINKED_KINDS = ("identifier", "secret_key", "endpoint")
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = REACH, with_redacted:
     fields.append(f"secret_spans {SCHEMA}")
     if with_redacted:
         fields.append("redacted string")
-    return kept.mapInArrow(run, ", ".join(fields))
+    return kept.mapInArrow(releasing(run), ", ".join(fields))
 
 
 def digest(docs: DataFrame) -> DataFrame:

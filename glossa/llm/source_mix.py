@@ -23,7 +23,8 @@ import json
 from collections import defaultdict, deque
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,6 +135,12 @@ def route(patterns: dict[tuple[str | None, ...], int], targets: dict[str | None,
     return {members: [(s, flow.room[arc ^ 1]) for s, arc in own if flow.room[arc ^ 1]] for members, own in zip(patterns, uses)}
 
 
+def _local(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """Rows of the driver as a DataFrame. They go as an Arrow table, since for tuples each executor starts Python workers of their own, beside those of the operators."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def _key(members: Column) -> Column:
     return F.to_json(F.array_sort(F.array_distinct(members)))
 
@@ -190,8 +197,8 @@ def mix(
     keys = {json.dumps(json.loads(r.pattern), ensure_ascii=False, separators=(",", ":")): r.pattern for r in totals}
     facts = [(keys[k], *x) for k, *x in facts]
     marks = [(keys[k], *x) for k, *x in marks]
-    fact = spark.createDataFrame(facts, "pattern string, source_size long, target double")
-    mark = spark.createDataFrame(marks, "pattern string, part int, pass int, offset long, source string")
+    fact = _local(spark, facts, pattern=pa.string(), source_size=pa.int64(), target=pa.float64())
+    mark = _local(spark, marks, pattern=pa.string(), part=pa.int32(), **{"pass": pa.int32()}, offset=pa.int64(), source=pa.string())
     plan = _plan(rows, sums, fact, mark)
 
     rows = rows.join(F.broadcast(plan), "pattern", "left")

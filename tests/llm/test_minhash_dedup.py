@@ -104,3 +104,22 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1080), 1000)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_are_made_a_step_at_a_time(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(4)
+    rows = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(300))) for _ in range(1200)] + ["", None, "x", "long " * 60_000, None]
+    texts = pa.array(rows)
+    tracemalloc.start()
+    sets, begins = D.shingle_sets(texts.slice(0, 1200))
+    assert tracemalloc.get_traced_memory()[1] < 16 * texts.slice(0, 1200).nbytes
+    tracemalloc.stop()
+    whole = D.shingle_sets(texts)
+    for step in (1, 100, 1 << 40):
+        monkeypatch.setattr(D, "STEP", step)
+        for found, want in zip(D.shingle_sets(texts), whole):
+            assert found.dtype == want.dtype and found.tolist() == want.tolist()
+    assert [len(shingles(t)) for t in rows] == (whole[1][1:] - whole[1][:-1]).tolist()
+    assert [x.tolist() for x in D.shingle_sets(texts.slice(0, 0))] == [[], [0]]

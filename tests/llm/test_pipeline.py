@@ -57,3 +57,19 @@ def test_stages_keep_rows_of_nulls(spark, tmp_path):
         assert sorted(map(str, stage(spark, frame, str(tmp_path)).collect())) == sorted(map(str, frame.collect()))
     assert [r.text for r in corpus_pipeline.mix_stage(spark, frame, str(tmp_path)).collect()] == ["a few words"]
     assert corpus_pipeline.encode_stage(spark, frame, str(tmp_path)).count() == 3
+
+
+def test_tasks_release_memory_however_they_end(monkeypatch):
+    import pytest
+
+    from glossa.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.releasing(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    with pytest.raises(ZeroDivisionError):
+        list(common.releasing(lambda batches: (1 // b for b in batches))(iter([1, 0])))
+    left = common.releasing(iter)(iter([1, 2]))
+    next(left)
+    left.close()
+    assert len(calls) == 3

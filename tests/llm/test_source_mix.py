@@ -77,3 +77,17 @@ def test_overlapping_sources_and_edges(spark):
     assert taken[1][0] == 300_000 and taken[1][1] == 0 and sum(t for _, t in taken.values()) == 103
     with pytest.raises(ValueError):
         M.mix(docs, F.array(F.col("doc_id").cast("string")), max_patterns=10)
+
+
+def test_the_plan_starts_no_python_workers(spark, monkeypatch):
+    """Rows of the driver that go as tuples pass through Python workers of their own, which stay beside those of the operators."""
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('word ', 5) as text", "if(id % 3 = 0, null, concat('s', id % 3)) as source").cache()
+
+    def refuse(*_, **__):
+        raise AssertionError("rows went through Python workers")
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert M.mix(docs, F.array("source")).where("taken > 0").count() > 0
+    assert M.mix(docs.limit(0), F.array("source")).count() == 0
